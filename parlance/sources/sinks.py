@@ -13,13 +13,14 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite")
     Empty strings stay quoted, null stays bare, so the two survive a round trip.
     """
     writer = df.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"')
+    writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.option("emptyValue", '""').option("nullValue", "").csv(path)
 
 
 def zone_export(rows: DataFrame, ratio: str = "ratio") -> DataFrame:
     """Corpus columns plus the ratio as text with four decimals."""
     return rows.select(
-        "ID", "Texte", "Langue", "Niveau", F.format_string("%.4f", F.col(ratio)).alias("ratio_majuscules")
+        "ID", "Texte", "Langue", "Niveau", F.format_string("%.4f", F.bround(F.col(ratio), 4)).alias("ratio_majuscules")
     )
 
 
