@@ -324,9 +324,9 @@ def summary(spark, sf):
     return split.corpus_summary(docs(spark, sf), "lang")
 
 
-@query("A2_W1_curve", f'WITH {sql.CURVE} SELECT threshold, n, round(pct, 6) AS pct, "drop" FROM curve')
+@query("A2_W1_curve", f'WITH {sql.CURVE} SELECT threshold, n, round(pct, 6) AS pct, "drop"::DOUBLE AS "drop" FROM curve')
 def curve(spark, sf):
-    return rounded(wf.triage_corpus(src.documents_as_corpus(spark, sf)).curve, "pct")
+    return rounded(wf.triage_corpus(src.documents_as_corpus(spark, sf)).curve, "pct", "drop")
 
 
 @query("A3_drop_median", f"WITH {sql.ZONES} SELECT m AS median FROM med")
