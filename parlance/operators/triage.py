@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from parlance.functions import lexicon as lx
 from parlance.functions.text import uppercase_ratio
@@ -62,15 +62,15 @@ def zones(curve: DataFrame) -> DataFrame:
     )
 
 
-def _limit(zone_row: DataFrame, name: str):
-    """One value of the one-row zone table, as a scalar subquery."""
-    return zone_row.select(name).scalar()
+def _limits(zone_row: DataFrame) -> Column:
+    """The one-row zone table as a single scalar subquery, so that its limits share one run."""
+    return zone_row.select(F.struct("seuil_min", "seuil_max", "seuil_nettoyage")).scalar()
 
 
 def cleanup_rows(rated: DataFrame, zone_row: DataFrame) -> DataFrame:
-    return rated.where(F.col("ratio") >= _limit(zone_row, "seuil_nettoyage"))
+    return rated.where(F.col("ratio") >= _limits(zone_row)["seuil_nettoyage"])
 
 
 def triage_rows(rated: DataFrame, zone_row: DataFrame) -> DataFrame:
-    low, high = _limit(zone_row, "seuil_min"), _limit(zone_row, "seuil_max")
-    return rated.where((F.col("ratio") >= low) & (F.col("ratio") < high))
+    limits = _limits(zone_row)
+    return rated.where((F.col("ratio") >= limits["seuil_min"]) & (F.col("ratio") < limits["seuil_max"]))

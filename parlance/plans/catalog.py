@@ -407,12 +407,13 @@ def labels(spark, sf):
     "W4_inner_tokens",
     f"""WITH {sql.TOKENS}, placed AS (SELECT doc_id, sent, i, row_number() OVER (PARTITION BY doc_id, sent ORDER BY i) AS k
         FROM tok WHERE pos <> 'SPACE')
-    SELECT doc_id, count(*) FILTER (k > 1) AS inner_tokens, sum(i)::BIGINT AS positions FROM placed GROUP BY doc_id""",
+    SELECT doc_id, count(*) FILTER (k > 1) AS inner_tokens, coalesce(sum(i), 0)::BIGINT AS positions
+    FROM documents LEFT JOIN placed USING (doc_id) GROUP BY doc_id""",
 )
 def inner_tokens(spark, sf):
     based = tk.with_basics(annotated(spark, sf), "text")
     inner = "size(filter(_real, (t, k) -> k > 0 AND _real[greatest(k - 1, 0)].sent = t.sent))"
-    return based.where("size(_real) > 0").select(
+    return based.select(
         "doc_id",
         F.expr(f"bigint({inner})").alias("inner_tokens"),
         F.expr("aggregate(_real, 0L, (a, t) -> a + t.i)").alias("positions"),
@@ -542,19 +543,18 @@ def dep_weights(spark, sf):
 
 
 def _sequence_sql(column: str) -> str:
-    return f"WITH {sql.TOKENS} SELECT doc_id, md5(string_agg({column}, ' ' ORDER BY i)) AS digest FROM tok GROUP BY doc_id"
+    return f"""WITH {sql.TOKENS} SELECT doc_id, md5(coalesce(string_agg({column}, ' ' ORDER BY i), '')) AS digest
+    FROM documents LEFT JOIN (SELECT doc_id, i, pos, dep FROM tok) USING (doc_id) GROUP BY doc_id"""
 
 
 @query("L19_pos_sequence", _sequence_sql("pos"))
 def pos_sequence(spark, sf):
-    rows = annotated(spark, sf).where("size(tokens) > 0")
-    return rows.select("doc_id", F.md5(tk.pos_sequence()).alias("digest"))
+    return annotated(spark, sf).select("doc_id", F.md5(tk.pos_sequence()).alias("digest"))
 
 
 @query("L20_dep_sequence", _sequence_sql("dep"))
 def dep_sequence(spark, sf):
-    rows = annotated(spark, sf).where("size(tokens) > 0")
-    return rows.select("doc_id", F.md5(tk.dep_sequence()).alias("digest"))
+    return annotated(spark, sf).select("doc_id", F.md5(tk.dep_sequence()).alias("digest"))
 
 
 @query("T9_block_vectors")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from parlance.functions import lexicon as lx
 from parlance.functions.text import SPACE
-from parlance.session import materialize
+from parlance.session import materialize, spread
 
 ID, TEXT, LABEL, LEVEL = "ID", "Texte", "Langue", "Niveau"
 CORPUS_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in (ID, TEXT, LABEL, LEVEL)])
@@ -94,8 +94,8 @@ def with_row_ids(df: DataFrame, ident: str = ID) -> DataFrame:
 
 def documents_as_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``documents`` table under the corpus column names."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select(
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    return spread(docs, "doc_id").select(
         F.col("doc_id").cast("string").alias(ID),
         F.col("text").alias(TEXT),
         F.col("lang").alias(LABEL),
