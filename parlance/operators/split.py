@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from parlance.session import materialize
+
+# Hex digits of a shuffle key that form its bucket: 4,096 of them.
 BUCKET_DIGITS = 3
 
 
@@ -64,7 +67,8 @@ def _rank_cuts(keyed: DataFrame, label: str, positions: DataFrame) -> DataFrame:
 
     Ranking a whole label would put a third of all rows into one task. Instead rows are
     counted per key prefix, which finds the prefix holding each wanted rank, and only rows of
-    those prefixes are ranked: about one in 4,096.
+    those prefixes are ranked: about one in 4,096. Both small results are written, so that
+    whatever uses the cuts later reads a few rows instead of counting again.
     """
     prefix = F.substring("_key", 1, BUCKET_DIGITS)
     counts = keyed.groupBy(label, prefix.alias("_bucket")).agg(F.count("*").alias("_size"))
@@ -72,12 +76,14 @@ def _rank_cuts(keyed: DataFrame, label: str, positions: DataFrame) -> DataFrame:
     ranges = counts.withColumn("_end", running).withColumn("_start", F.col("_end") - F.col("_size"))
     hits = ranges.join(positions, label).where((F.col("rank") > F.col("_start")) & (F.col("rank") <= F.col("_end")))
     hits = hits.select(label, "_bucket", "cut", (F.col("rank") - F.col("_start")).alias("_local"))
+    hits = materialize(hits, "cut-buckets")
     edge = keyed.withColumn("_bucket", prefix).join(
         hits.select(label, "_bucket").distinct(), [label, "_bucket"], "left_semi"
     )
     local = F.row_number().over(W.partitionBy(label, "_bucket").orderBy("_key"))
     ranked = edge.select(label, "_bucket", "_key", local.alias("_local"))
-    return ranked.join(hits, [label, "_bucket", "_local"]).select(label, "cut", F.col("_key").alias("_cut_key"))
+    cuts = ranked.join(hits, [label, "_bucket", "_local"]).select(label, "cut", F.col("_key").alias("_cut_key"))
+    return materialize(cuts, "cuts")
 
 
 def _keyed(df: DataFrame, ident: str, label: str, seed: int) -> DataFrame:
