@@ -70,8 +70,7 @@ LITE_TOKEN = r"[\p{L}\p{M}]+|\p{N}+|\n+|[^ \t\n\r\f\p{L}\p{M}\p{N}]"
 LITE_SENTENCE = r"[^.!?]*[.!?]+|[^.!?]+"
 
 
-def _lite_pos(token: Column) -> Column:
-    low = F.lower(token)
+def _lite_pos(token: Column, low: Column) -> Column:
     return (
         F.when(low.startswith("\n"), "SPACE")
         .when(low.isin(LITE_AUX_BE + LITE_AUX_HAVE[1:]), "AUX")
@@ -101,7 +100,7 @@ def annotate_lite(df: DataFrame, text: str = "text") -> DataFrame:
     )
     tokenised = F.transform("_sents", lambda s: F.regexp_extract_all(s, F.lit(LITE_TOKEN), F.lit(0)))
     df = df.withColumn("_toks", F.filter(tokenised, lambda s: F.size(s) > 0))
-    df = df.withColumn("_pos", F.transform("_toks", lambda s: F.transform(s, _lite_pos)))
+    df = df.withColumn("_pos", F.transform("_toks", lambda s: F.zip_with(s, F.transform(s, F.lower), _lite_pos)))
     be = ", ".join(f"'{w}'" for w in LITE_AUX_BE)
     # facts of a sentence, zipped with it: a column captured by a lambda could be inlined by
     # the optimizer and evaluated again for every token
@@ -122,8 +121,8 @@ def annotate_lite(df: DataFrame, text: str = "text") -> DataFrame:
         F.expr(
             """
             flatten(transform(_sentences, (z, k) -> zip_with(
-                transform(z.toks, (t, j) -> named_struct('text', t, 'j', j)), z.pos, (t, p) -> named_struct(
-                'text', t.text, 'pos', p, 'sent', k, 'j', t.j, 'root', z.root,
+                transform(z.toks, (t, j) -> named_struct('text', t, 'low', lower(t), 'j', j)), z.pos, (t, p) -> named_struct(
+                'text', t.text, 'low', t.low, 'pos', p, 'sent', k, 'j', t.j, 'root', z.root,
                 'root_pos', z.pos[z.root], 'pass', z.pass,
                 'head_j', CASE
                     WHEN t.j = z.root THEN t.j
@@ -139,9 +138,9 @@ def annotate_lite(df: DataFrame, text: str = "text") -> DataFrame:
             transform(_flat, (t, i) -> named_struct(
                 'i', i,
                 'text', t.text,
-                'lemma', CASE WHEN lower(t.text) IN ({be}) THEN 'être' ELSE lower(t.text) END,
+                'lemma', CASE WHEN t.low IN ({be}) THEN 'être' ELSE t.low END,
                 'pos', t.pos,
-                'tag', CASE WHEN t.pos = 'NOUN' AND endswith(lower(t.text), 's')
+                'tag', CASE WHEN t.pos = 'NOUN' AND endswith(t.low, 's')
                             THEN 'NOUN__Number=Plur' ELSE t.pos END,
                 'dep', CASE
                     WHEN t.j = t.root THEN 'ROOT'
@@ -160,15 +159,15 @@ def annotate_lite(df: DataFrame, text: str = "text") -> DataFrame:
                 'is_space', t.pos = 'SPACE',
                 'is_alpha', t.pos <> 'SPACE' AND rlike(t.text, r'^\p{{L}}+$'),
                 'morph', CASE
-                    WHEN t.pos = 'VERB' AND endswith(lower(t.text), 'ed')
+                    WHEN t.pos = 'VERB' AND endswith(t.low, 'ed')
                         THEN map('VerbForm', array('Part'), 'Tense', array('Past'))
-                    WHEN t.pos = 'VERB' AND rlike(lower(t.text), r'(er|ir|ar)$')
+                    WHEN t.pos = 'VERB' AND rlike(t.low, r'(er|ir|ar)$')
                         THEN map('VerbForm', array('Inf'))
-                    WHEN t.pos = 'VERB' AND endswith(lower(t.text), 'ing')
+                    WHEN t.pos = 'VERB' AND endswith(t.low, 'ing')
                         THEN map('VerbForm', array('Fin'), 'Tense', array('Pres'))
-                    WHEN t.pos = 'VERB' AND endswith(lower(t.text), 'ent')
+                    WHEN t.pos = 'VERB' AND endswith(t.low, 'ent')
                         THEN map('VerbForm', array('Fin'), 'Tense', array('Imp'))
-                    WHEN t.pos = 'VERB' AND endswith(lower(t.text), 'ez')
+                    WHEN t.pos = 'VERB' AND endswith(t.low, 'ez')
                         THEN map('VerbForm', array('Fin'), 'Tense', array('Fut'))
                     WHEN t.pos IN ('VERB', 'AUX') THEN map('VerbForm', array('Fin'), 'Tense', array('Pres'))
                     ELSE cast(map() as map<string, array<string>>) END))

@@ -19,9 +19,9 @@ def _header(spark: SparkSession, path: str) -> str:
 
 
 def detect_sep(spark: SparkSession, path: str, candidates: str = ";,\t|") -> str:
-    """The candidate that splits the header into most columns; earlier ones win ties."""
+    """The first candidate that splits the header into two columns or more, else a comma."""
     header = _header(spark, path)
-    return max(candidates, key=lambda sep: (header.count(sep), -candidates.index(sep)))
+    return next((sep for sep in candidates if sep in header), ",")
 
 
 def read_corpus(
