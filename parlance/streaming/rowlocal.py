@@ -1,6 +1,6 @@
 """Row-local work on a stream of texts.
 
-The reference semantics of cleaning, features and scoring look at one text at a time, so the
+Cleaning, features and scoring look at one text at a time, so the
 batch functions run on a ``readStream`` table unchanged. These helpers only put a stream's
 source and sink around them; whatever needs the whole corpus (curve, zones, vocabularies,
 scaler) is fitted on a batch and passed in.

@@ -181,7 +181,7 @@ def test_pair_votes_go_to_the_first_label_on_ties(spark):
     from pyspark.ml.linalg import Vectors
 
     rows = [("a", Vectors.dense([1.0, 0.0])), ("b", Vectors.dense([0.0, 1.0])), ("c", Vectors.dense([-1.0, -1.0]))] * 5
-    df = spark.createDataFrame(rows, ["y", "features"])
+    df = spark.createDataFrame(rows, ["y", "features"]).coalesce(1)
     for fit in (svm.fit_one_vs_one, svm.fit_one_vs_rest):
         model = fit(df, "y", svm.SvmParams(C=10.0))
         assert model.predict(df).where("y = predicted_label").count() == 15
