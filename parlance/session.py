@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,9 +27,16 @@ def build_session(app: str = "parlance", master: str | None = None, **conf: str)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; one is made only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``.
+
+    Only a local master may leave it unset: driver and executors are then one process, so a
+    temporary folder is shared. On a cluster that would scatter the files, so it is an error.
+    """
     root = spark.conf.get(CHECKPOINT_CONF, None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="parlance-")
         spark.conf.set(CHECKPOINT_CONF, root)
     return root.rstrip("/")
