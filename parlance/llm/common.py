@@ -172,9 +172,13 @@ def run_starts(first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """One list of ``counts[i]`` values a row."""
+    return lists_of(counts, pa.array(values, kind))
+
+
+def lists_of(counts: np.ndarray, values: pa.Array) -> pa.Array:
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
 
 
 def batch(**columns) -> pa.RecordBatch:

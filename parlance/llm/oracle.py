@@ -67,3 +67,40 @@ WITH base AS (
 LINE_RULES = judged() + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept FROM judged
 """
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _alnum(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}')"
+
+
+def contaminated(source: str = "documents") -> str:
+    """row, its columns, n_words, n_hit and the sorted item ids of each row of ``source``."""
+    return f"""
+WITH items AS (
+  SELECT item_id, {_alnum("text")} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL
+), item_windows AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[i:i + size - 1], ' ') AS words
+  FROM (SELECT item_id, w, least(len(w), 10) AS size, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM items WHERE len(w) > 0)
+), base AS (
+  SELECT row_number() OVER () AS row, *, {_alnum("text")} AS w FROM {source}
+), doc_windows AS (
+  SELECT row, size, i, array_to_string(w[i:i + size - 1], ' ') AS words
+  FROM (SELECT row, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM base, (SELECT DISTINCT size FROM item_windows) WHERE len(w) >= size)
+), hits AS (
+  SELECT row, i, size, item_id FROM doc_windows JOIN item_windows USING (size, words)
+), marked AS (
+  SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS p FROM hits) GROUP BY row
+), named AS (
+  SELECT row, list_sort(list(DISTINCT item_id::VARCHAR)) AS items FROM hits GROUP BY row
+), found AS (
+  SELECT base.*, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(items, []) AS items
+  FROM base LEFT JOIN marked USING (row) LEFT JOIN named USING (row)
+)
+"""
+
+
+DECONTAMINATE = contaminated() + """
+SELECT doc_id, n_words, n_hit, len(items) AS n_items, sha256(array_to_string(items, ',')) AS items_sha256, n_hit > 0 AS contaminated FROM found
+"""

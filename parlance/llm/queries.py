@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, chat, langid, line_rules, oracle, token_files, toxicity
+from parlance.llm import bpe, chat, decontaminate, langid, line_rules, oracle, token_files, toxicity
 from parlance.llm.common import fold, table
 from parlance.session import scratch_path
 
@@ -19,6 +19,15 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.find(table(spark, sf_dir, "documents", "doc_id", "text"), benchmark)
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoded = bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path)
@@ -65,6 +74,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_decontaminate": op2_decontaminate,
     "op3_bpe": op3_bpe,
     "op7_token_files": op7_token_files,
     "op8_chat": op8_chat,
@@ -73,6 +83,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_decontaminate": oracle.DECONTAMINATE,
     "op8_chat": oracle.CHAT,
     "op9_line_rules": oracle.LINE_RULES,
 }
