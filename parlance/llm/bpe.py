@@ -21,18 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from parlance.llm import common
-from parlance.llm.fragments import coder
+from parlance.llm.fragments import coder, letter_bytes
 
 _TABLES: dict[str, object] = {}
 
 
-def letter_bytes() -> dict[str, int]:
-    """The printable letters that byte-level vocabularies write for the 256 bytes."""
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    spare = (b for b in range(256) if b not in plain)
-    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(spare)}
-
-
 def vocabulary(path: str) -> list[bytes]:
     """Bytes of each token by id, added tokens included."""
     with open(path, encoding="utf-8") as file:
@@ -84,13 +77,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
         edges = np.unique(np.concatenate([offsets, cuts(data, free)]))
         limits = edges.tolist()
         pieces = [raw[a:b] for a, b in zip(limits, limits[1:])]
-        model.learn(pieces)
-        known, ids, counts = model.known, [], []
         where = np.searchsorted(edges, offsets).tolist()
-        for a, b in zip(where, where[1:]):
-            found = b"".join([known[p] for p in pieces[a:b]])
-            ids.append(found)
-            counts.append(len(found) // 4)
+        ids = [b"".join(map(model.__getitem__, pieces[a:b])) for a, b in zip(where, where[1:])]
+        counts = [len(x) // 4 for x in ids]
         column = common.lists(np.frombuffer(b"".join(ids), dtype="<i4"), np.array(counts), pa.int32())
         return pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], column], names=[*keep, out])
 

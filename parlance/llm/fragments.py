@@ -1,44 +1,74 @@
-"""Token ids of text fragments, encoded once each and remembered within a bound."""
+"""Token ids of text fragments, found once each and remembered within a bound.
+
+A fragment is a piece of text whose ids do not depend on what stands around it. Plain ones
+(Latin letters and ASCII marks, no control strings) are cut into the pre-tokens of the
+vocabulary and looked up or merged one by one; whatever else is left to the whole tokenizer.
+"""
 
 from __future__ import annotations
 
 import os
 
 import numpy as np
+import regex
+
+KEEP = 600_000  # fragments a Python worker remembers, about 200 bytes each, before it starts anew
+_CODERS: dict[str, "Coder"] = {}
+
+
+def letter_bytes() -> dict[str, int]:
+    """The printable letters that byte-level vocabularies write for the 256 bytes."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    spare = (b for b in range(256) if b not in plain)
+    return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(spare)}
 
-KEEP = 400_000  # fragments a Python worker remembers before it starts anew
-_CODERS: dict[tuple[str, str], "Coder"] = {}
 
+#: Characters that normal forms and white space rules leave alone; a blank may come first.
+_SIMPLE = regex.compile(r" ?[\x21-\x3b\x3d-\x7e\xa1-\xac\xae-įı-ɏ]+")
 
-class Coder:
-    """Encodes fragments whose ids do not depend on their neighbours."""
 
-    def __init__(self, path: str, dtype: str = "<i4"):
+class Coder(dict):
+    """fragment bytes -> its ids as little-endian 32-bit integers."""
+
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.dtype = dtype
-        self.known: dict[bytes, bytes] = {}
-
-    def learn(self, fragments: list[bytes]) -> None:
-        """Makes sure that all of ``fragments`` are known."""
-        missing = list(set(fragments).difference(self.known))
-        if not missing:
-            return
-        if len(self.known) + len(missing) > KEEP:
-            self.known.clear()
-            missing = list(set(fragments))
-        texts = [f.decode("utf-8", "replace") for f in missing]
-        for fragment, found in zip(missing, self.tokenizer.encode_batch(texts, add_special_tokens=False)):
-            self.known[fragment] = np.array(found.ids, dtype=self.dtype).tobytes()
+        self.model = self.tokenizer.model
+        self.merged: dict[str, bytes] = {}
+        self.written = {b: c for c, b in letter_bytes().items()}
+        self.lower = self.tokenizer.normalizer is not None  # the file's normal form includes lower case
+        # the pre-token patterns of the two kinds of vocabulary files (fixed values)
+        self.pattern = regex.compile(
+            r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" if self.lower else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
+        )
+
+    def __missing__(self, fragment: bytes) -> bytes:
+        if len(self) >= KEEP:
+            self.clear()
+        text = fragment.decode("utf-8")
+        if _SIMPLE.fullmatch(text):
+            found = b"".join([self.merge(p) for p in self.pattern.findall(text.lower() if self.lower else text)])
+        else:
+            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
+        self[fragment] = found
+        return found
+
+    def merge(self, piece: str) -> bytes:
+        found = self.merged.get(piece)
+        if found is None:
+            if len(self.merged) >= KEEP:
+                self.merged.clear()
+            written = piece.encode().decode("latin-1").translate(self.written)
+            found = self.merged[piece] = np.array([t.id for t in self.model.tokenize(written)], dtype="<i4").tobytes()
+        return found
 
 
 def coder(path: str) -> Coder:
     """One per worker and file."""
-    key = (path, "ids")
-    if key not in _CODERS:
-        _CODERS[key] = Coder(path)
-    return _CODERS[key]
+    if path not in _CODERS:
+        _CODERS[path] = Coder(path)
+    return _CODERS[path]
