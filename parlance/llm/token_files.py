@@ -48,10 +48,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, text: str
         last = np.array([end_id], dtype="<i4").tobytes()
         for whole in batches:
             for part in common.slices(whole, text):
-                rows = [t.encode().split() if t else [] for t in part.column(text).to_pylist()]
-                model.learn([w for words in rows for w in words])
-                known = model.known
-                ids = [b"".join([known[w] for w in words]) + last for words in rows]
+                texts = part.column(text).cast(pa.binary()).to_pylist()
+                ids = [b"".join(map(model.__getitem__, t.split())) + last if t else last for t in texts]
                 counts = np.array([len(x) // 4 for x in ids])
                 starts = before + np.cumsum(counts) - counts
                 before += int(counts.sum())
@@ -84,9 +82,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def _started(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
     totals = spark.read.parquet(path).groupBy("part").agg(F.sum("n_tokens").alias("total"))
-    # one row a file: the running sum over files is a small sort
+    # one row a file, so both the running sum and the broadcast are small
     bases = totals.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("base"))
-    return rows.join(bases, "part").withColumn("start", F.col("base") + F.col("before")).drop("part", "base", "before")
+    return rows.join(F.broadcast(bases), "part").withColumn("start", F.col("base") + F.col("before")).drop("part", "base", "before")
 
 
 def ids_crc32(tokens: DataFrame) -> DataFrame:
