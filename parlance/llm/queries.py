@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, chat, decontaminate, langid, line_rules, oracle, token_files, toxicity
+from parlance.llm import bpe, chat, decontaminate, langid, line_rules, lm, oracle, simhash, substring, token_files, toxicity
 from parlance.llm.common import fold, table
 from parlance.session import scratch_path
 
@@ -38,6 +38,24 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
+def op4_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.dedup(table(spark, sf_dir, "documents", "doc_id", "text"))
+    words = F.btrim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[ \t\n\x0B\f\r]+", " "), F.lit(" "))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op6_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    scored = lm.score(docs, F.coalesce(fold("doc_id", 7) != 2, F.lit(False)))
+    held_out = F.coalesce(fold("doc_id", 7) == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "token-files")
     token_files.write(table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.path("word_bpe_49k.json"))
@@ -76,6 +94,9 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op3_bpe": op3_bpe,
+    "op4_substring": op4_substring,
+    "op5_simhash": op5_simhash,
+    "op6_context_mixing": op6_context_mixing,
     "op7_token_files": op7_token_files,
     "op8_chat": op8_chat,
     "op9_line_rules": op9_line_rules,
