@@ -1,7 +1,7 @@
 """Language-model scores of whole texts, learned from a corpus.
 
 Texts are tokens: lower-cased (A-Z) runs of anything but ASCII blanks, then one end. The corpus
-gives a table of all distinct learning tokens with their counts, which grows with it. From that
+gives a table of all distinct learning tokens, by state, with their counts, which grows with it. From that
 table come the add-one unigram base and the tables, weights and adaptive map of the bitwise
 mixing model (``mixing``), fitted over all its rows; weights are fitted online in every task and
 averaged. The model has a fixed size and is broadcast; the token table is scored once and joined.
@@ -32,44 +32,69 @@ FLUSH = 1_500_000  # distinct tokens a counting task holds
 PART = 4096  # slots of a table that travel together
 
 
-def _distinct(column: pa.Array) -> tuple[common.Words, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    """Words, distinct hashes, one word of each, and for each word the position of its hash."""
-    data, offsets = common.text_bytes(column)
-    low = common.LOWER[data]
-    words = common.Words(low, offsets)
-    keys, one, where = np.unique(words.hashes(), return_index=True, return_inverse=True)
-    return words, keys, one, where, low.tobytes()
+class Tokens:
+    """The tokens of a slice of texts, each with its state; distinct pairs and where they are."""
+
+    def __init__(self, column: pa.Array):
+        data, offsets = common.text_bytes(column)
+        low = common.LOWER[data]
+        self.words = words = common.Words(low, offsets)
+        self.raw = low.tobytes()
+        self.owner = np.repeat(np.arange(len(column)), words.count)
+        # the last byte beyond ASCII before each word and before each end
+        last = np.maximum.accumulate(np.where(low >= 0x80, np.arange(len(low)), -1)) if len(low) else np.zeros(0, np.int64)
+        self.states = self._state(last, words.start, offsets[:-1][self.owner])
+        self.end_states = self._state(last, offsets[1:], offsets[:-1])
+        hashes = key_hashes(words.hashes(), self.states)
+        self.keys, self.one, self.where = np.unique(hashes, return_index=True, return_inverse=True)
+
+    def _state(self, last: np.ndarray, before: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        if not len(last):
+            return np.zeros(len(before), np.int64)
+        at = np.where(before > 0, last[np.maximum(before - 1, 0)], -1)
+        return np.where(at >= begin, 1 + (self.words.data[np.maximum(at, 0)] & 15), 0).astype(np.int64)
+
+    def spelled(self, chosen: np.ndarray) -> list[bytes]:
+        """State byte and bytes of the chosen distinct tokens."""
+        word = self.one[chosen]
+        return [bytes((s,)) + self.raw[a:b] for s, a, b in zip(self.states[word].tolist(), self.words.start[word].tolist(), self.words.end[word].tolist())]
+
+
+def key_hashes(words: np.ndarray, states: np.ndarray) -> np.ndarray:
+    return common.mix(words + states.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def token_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """word (bytes), n: every distinct token of ``docs``, the end included."""
+    """key (state byte and token bytes), n: every distinct token of ``docs`` by state, ends included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, int] = {}
 
         def rows() -> pa.RecordBatch:
-            out = common.batch(word=pa.array(list(held), pa.binary()), n=pa.array(list(held.values()), pa.int64()))
+            out = common.batch(key=pa.array(list(held), pa.binary()), n=pa.array(list(held.values()), pa.int64()))
             held.clear()
             return out
 
         for whole in batches:
             for part in common.slices(whole, text):
-                words, keys, one, where, low = _distinct(part.column(text))
-                counts = np.bincount(where, minlength=len(keys)).tolist()
-                for a, b, n in zip(words.start[one].tolist(), words.end[one].tolist(), counts):
-                    word = low[a:b]
-                    held[word] = held.get(word, 0) + n
-                held[mixing.END] = held.get(mixing.END, 0) + part.num_rows
+                tokens = Tokens(part.column(text))
+                counts = np.bincount(tokens.where, minlength=len(tokens.keys)).tolist()
+                for key, n in zip(tokens.spelled(np.arange(len(tokens.keys))), counts):
+                    held[key] = held.get(key, 0) + n
+                for state, n in enumerate(np.bincount(tokens.end_states, minlength=mixing.STATES).tolist()):
+                    if n:
+                        key = bytes((state,)) + mixing.END
+                        held[key] = held.get(key, 0) + n
                 if len(held) > FLUSH:
                     yield rows()
         if held:
             yield rows()
 
-    return common.pick(docs, text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return common.pick(docs, text).mapInArrow(run, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def _batches(part: pa.RecordBatch, size: int) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    words, counts = part.column("word").to_pylist(), part.column("n").to_numpy()
+    words, counts = part.column("key").to_pylist(), part.column("n").to_numpy()
     start = 0
     while start < len(words):
         end, total = start, 0
@@ -84,7 +109,7 @@ def fit(counts: DataFrame) -> mixing.Model:
     """Three passes over the token table: predictor tables, weights, adaptive map."""
     context = counts.sparkSession.sparkContext
     cores = context.defaultParallelism
-    counts = counts.coalesce(4 * cores)  # each task hands on a table of fixed size
+    counts = counts.coalesce(cores)  # each task hands on a table of fixed size
 
     def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((2, mixing.SLOTS))
@@ -112,18 +137,19 @@ def fit(counts: DataFrame) -> mixing.Model:
     shared = context.broadcast(table)
 
     def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, evidence, step = mixing.Model(shared.value), 0.0, 0
+        own = mixing.Model(shared.value)
         for part in batches:
             for words, n in _batches(part, mixing.BATCH):
-                evidence += own.learn(words, n, mixing.RATE * 10 / (1 + step / 50))
-                step += 1
-        if step:
-            yield common.batch(weights=pa.array([own.weights.tobytes()]), evidence=pa.array([evidence]))
-
-    fitted = counts.mapInArrow(weights, "weights binary, evidence double").collect()  # one small row a task
-    if fitted:
-        stack = np.array([np.frombuffer(r["weights"]).reshape(model.weights.shape) for r in fitted])
-        model.weights = np.average(stack, axis=0, weights=[r["evidence"] for r in fitted])
+                own.learn(words, n)
+        yield common.batch(weights=pa.array([own.weights.tobytes()]), met=pa.array([own.met.tobytes()]))
+
+    # one small row a task: weights are averaged by how much each gate met there
+    above, below = np.full(model.weights.shape, 1e-9) * model.weights, np.full((mixing.GATES, 1), 1e-9)
+    for row in counts.mapInArrow(weights, "weights binary, met binary").toLocalIterator():
+        met = np.frombuffer(row["met"])[:, None]
+        above += met * np.frombuffer(row["weights"]).reshape(model.weights.shape)
+        below += met
+    model.weights = above / below
     blended = context.broadcast(model.weights)
 
     def observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,51 +184,60 @@ def score(docs: DataFrame, learned: Column, text: str = "text", keep: tuple[str,
     """
     context = docs.sparkSession.sparkContext
     counts = materialize(token_counts(docs.filter(learned), text), "token-counts")
-    sizes = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, distinct = int(sizes["n"]), int(sizes["v"])
     model = context.broadcast(fit(counts))
 
-    def score_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            found = model.value.log10(part.column("word").to_pylist())
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], names=["word", "n", "p"])
+            found = model.value.log10(part.column("key").to_pylist())
+            yield common.batch(key=part.column("key"), n=part.column("n"), p=pa.array(found))
 
-    scored = materialize(counts.mapInArrow(score_words, "word binary, n long, p double"), "token-scores")
-    head = scored.filter(F.col("n") >= head_floor(counts)).toArrow()
-    head_words = pa.chunked_array(head.column("word").chunks, pa.binary()).combine_chunks() if head.num_rows else pa.array([], pa.binary())
-    listed = common.Words(*_joined(head_words)).hashes()
+    states = counts.mapInArrow(score_keys, "key binary, n long, p double").select(
+        F.expr("substring(key, 2)").alias("word"), F.struct(F.expr("cast(conv(hex(substring(key, 1, 1)), 16, 10) as int)").alias("state"), "n", "p").alias("s")
+    )
+    # a token has at most as many states as there are
+    words = materialize(states.groupBy("word").agg(F.sum("s.n").alias("n"), F.collect_list("s").alias("states")), "token-scores")
+    sizes = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    total, distinct = int(sizes["n"]), int(sizes["v"])
+    ends = words.filter(F.col("word") == F.lit(mixing.END)).first()
+    end_n = int(ends["n"]) if ends else 0
+    end_p = model.value.log10([bytes((s,)) + mixing.END for s in range(mixing.STATES)])
+
+    spread = words.filter(F.col("word") != F.lit(mixing.END)).select("word", "n", F.explode("states").alias("s"))
+    floor = head_floor(counts)
+    head = spread.filter(F.col("s.n") >= floor).select("word", "n", "s.state", "s.p").toArrow()
+    texts = pa.array([w.decode("utf-8") for w in head.column("word").to_pylist()], pa.string())
+    listed = key_hashes(common.Words(*common.text_bytes(texts)).hashes(), head.column("state").to_numpy())
     order = np.argsort(listed)
     shared = context.broadcast((listed[order], head.column("n").to_numpy()[order], head.column("p").to_numpy()[order]))
-    end_count = scored.filter(F.col("word") == F.lit(mixing.END)).first()
-    end_n = int(end_count["n"]) if end_count else 0
-    end_p = float(end_count["p"]) if end_count else float(model.value.log10([mixing.END])[0])
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
         known, known_n, known_p = shared.value
-        words, keys, one, where, low = _distinct(part.column(text))
-        at = np.minimum(np.searchsorted(known, keys), max(len(known) - 1, 0))
-        hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
-        n = np.where(hit, known_n[at], 0) if len(known) else np.zeros(len(keys), np.int64)
-        p = np.where(hit, known_p[at], 0.0) if len(known) else np.zeros(len(keys))
-        rows = part.num_rows
-        owner = np.repeat(np.arange(rows), words.count)
+        tokens = Tokens(part.column(text))
+        keys, where, owner, rows = tokens.keys, tokens.where, tokens.owner, part.num_rows
+        n, p, hit = np.zeros(len(keys), np.int64), np.zeros(len(keys)), np.zeros(len(keys), bool)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hit = known[at] == keys
+            n, p = np.where(hit, known_n[at], 0), np.where(hit, known_p[at], 0.0)
         base = np.bincount(owner, np.log10(n + 1.0)[where], rows)
         seen = np.bincount(owner, hit[where], rows)
-        value = np.bincount(owner, p[where], rows)
+        value = np.bincount(owner, p[where], rows) + end_p[tokens.end_states]
         rare = ~hit[where]
-        pairs, times = np.unique(owner[rare] * max(len(keys), 1) + where[rare], return_counts=True)
-        rare_owner, rare_key = pairs // max(len(keys), 1), pairs % max(len(keys), 1)
-        begin, end = words.start[one].tolist(), words.end[one].tolist()
-        tail = pa.StructArray.from_arrays([pa.array([low[begin[k] : end[k]] for k in rare_key.tolist()], pa.binary()), pa.array(times, pa.int32())], names=["word", "times"])
-        size = np.bincount(owner, words.end - words.start, rows).astype(np.int64) + words.count + 1
+        width = max(len(keys), 1)
+        pairs, times = np.unique(owner[rare] * width + where[rare], return_counts=True)
+        tail = pa.StructArray.from_arrays([pa.array(tokens.spelled(pairs % width), pa.binary()), pa.array(times, pa.int32())], names=["key", "times"])
+        size = np.bincount(owner, tokens.words.end - tokens.words.start, rows).astype(np.int64) + tokens.words.count + 1
         return pa.RecordBatch.from_arrays(
-            [*[part.column(c) for c in keep], pa.array(words.count + 1, pa.int64()), pa.array(size), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(value), common.lists_of(np.bincount(rare_owner, minlength=rows), tail)],
+            [
+                *[part.column(c) for c in keep], pa.array(tokens.words.count + 1, pa.int64()), pa.array(size), pa.array(seen.astype(np.int64)), pa.array(base), pa.array(value),
+                common.lists_of(np.bincount(pairs // width, minlength=rows), tail),
+            ],
             names=[*keep, "n_tokens", "size", "seen", "base", "value", "tail"],
-        )
+        )
 
     narrow = common.pick(docs, *keep, text)
     kinds = dict(narrow.dtypes)
-    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "n_tokens long, size long, seen long, base double, value double, tail array<struct<word:binary,times:int>>"])
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in keep], "n_tokens long, size long, seen long, base double, value double, tail array<struct<key:binary,times:int>>"])
     rows = materialize(common.map_slices(narrow, run, schema, text).withColumn("row__", F.monotonically_increasing_id()), "token-tails")
 
     def score_unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,12 +245,15 @@ def score(docs: DataFrame, learned: Column, text: str = "text", keep: tuple[str,
             p = part.column("p").to_numpy(zero_copy_only=False).copy()
             gaps = np.flatnonzero(np.isnan(p))
             if len(gaps):
-                column = part.column("word").take(pa.array(gaps)).dictionary_encode()
+                column = part.column("key").take(pa.array(gaps)).dictionary_encode()
                 p[gaps] = model.value.log10(column.dictionary.to_pylist())[column.indices.to_numpy()]
-            yield pa.RecordBatch.from_arrays([part.column("row__"), part.column("times"), part.column("n"), pa.array(p)], names=["row__", "times", "n", "p"])
+            yield common.batch(row__=part.column("row__"), times=part.column("times"), n=part.column("n"), p=pa.array(p))
 
-    tail = rows.select("row__", F.explode("tail").alias("t")).select("row__", "t.word", "t.times")
-    met = tail.join(scored, "word", "left").select("row__", "word", "times", "n", "p").mapInArrow(score_unknown, "row__ long, times int, n long, p double")
+    tail = rows.select("row__", F.explode("tail").alias("t")).select(
+        "row__", "t.key", "t.times", F.expr("substring(t.key, 2)").alias("word"), F.expr("cast(conv(hex(substring(t.key, 1, 1)), 16, 10) as int)").alias("state")
+    )
+    own = F.get(F.filter("states", lambda s: s["state"] == F.col("state")), F.lit(0))["p"]
+    met = tail.join(words, "word", "left").select("row__", "key", "times", "n", own.alias("p")).mapInArrow(score_unknown, "row__ long, times int, n long, p double")
     sums = met.groupBy("row__").agg(
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_seen"),
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1.0)).alias("more_base"),
@@ -223,7 +261,7 @@ def score(docs: DataFrame, learned: Column, text: str = "text", keep: tuple[str,
     )
     whole = rows.drop("tail").join(sums, "row__", "left")
     more = lambda c: F.coalesce(c, F.lit(0))
-    value = F.col("value") + more("more_value") + F.lit(end_p)
+    value = F.col("value") + more("more_value")
     return whole.select(
         *[F.col(f"`{c}`") for c in keep],
         "n_tokens",
@@ -234,7 +272,3 @@ def score(docs: DataFrame, learned: Column, text: str = "text", keep: tuple[str,
         (-value * math.log2(10) / F.col("size")).alias("bits_per_byte"),
     )
 
-
-def _joined(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens as texts of one word each; the end, which has none, gets a hash of its own kind."""
-    return common.text_bytes(pa.array([b"\x00end" if w == mixing.END else w for w in words.to_pylist()], pa.binary()).cast(pa.string()))

@@ -1,22 +1,27 @@
 """A bitwise language model of tokens: hashed-context bit predictors mixed by gated logistic weights.
 
-A token is its bytes and a closing blank; the end of a text is one line feed. Every byte is eight
-binary decisions, the highest bit first. For each decision six predictors look up how often
-either bit followed: by the bits of the byte so far and by the last 0, 1, 2, 3, 4 or 6 bytes of the
-token, hashed into two tables of fixed size. Their log odds are added with weights picked by a
-gate, the confidence of the two longest predictors. An adaptive map then corrects the mixed
-probability by what really followed such probabilities.
-
-Contexts end at the token's start, so a text's probability is the product over its tokens.
+A token is its bytes and a closing blank; the end of a text is one line feed. It is met in a
+state: which letter beyond ASCII the text showed last, in 16 classes, or none so far. Every byte is
+eight binary decisions, the highest bit first. For each decision six predictors look up how often
+either bit followed: by the bits of the byte so far, up to six bytes of the token before it and,
+for half of them, the state, hashed into two tables of fixed size. Their log odds are added with
+weights picked by a gate, the confidence of the two longest predictors. An adaptive map then
+corrects the mixed probability by what really followed such probabilities.
+
+Byte contexts end at the token's start and the state comes from earlier tokens, so a text's
+probability is the product over its tokens in their states. Keys are the state's byte and the
+token's bytes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-ORDERS = (0, 1, 2, 3, 4, 6)
-PAD = max(ORDERS)
-TABLE_BITS = 20  # slots of each of the two tables: orders up to 4, and order 6
+#: Bytes looked back on, and whether the state counts too.
+PREDICTORS = ((1, False), (1, True), (2, True), (3, False), (4, True), (6, False))
+PAD = max(order for order, _ in PREDICTORS)
+STATES = 17
+TABLE_BITS = 21  # slots of each of the two tables: for up to 4 bytes, and for 6
 SLOTS = 2 << TABLE_BITS
 GATES = 25
 STEPS = 24  # of the adaptive map, over log odds from -12 to 12
@@ -29,10 +34,10 @@ _NODE = np.uint64(0xD6E8FEB86659FD93)
 
 
 class Decisions:
-    """All binary decisions of some tokens: bits, table slots by predictor, and owners."""
+    """All binary decisions of some keys: bits, table slots by predictor, and owners."""
 
-    def __init__(self, tokens: list[bytes]):
-        closed = [t if t == END else t + b" " for t in tokens]
+    def __init__(self, keys: list[bytes]):
+        closed = [k[1:] if k[1:] == END else k[1:] + b" " for k in keys]
         lengths = np.array([len(t) for t in closed], dtype=np.int64)
         begin = np.cumsum(lengths + PAD) - lengths
         flat = np.zeros(int((lengths + PAD).sum()), np.uint64)
@@ -40,18 +45,19 @@ class Decisions:
         at = np.arange(int(lengths.sum())) - np.repeat(head, lengths) + np.repeat(begin, lengths)
         flat[at] = np.frombuffer(b"".join(closed), dtype=np.uint8)
         flat[begin - 1] = 0x20
-        self.owner = np.repeat(np.arange(len(tokens)), lengths)
+        self.owner = np.repeat(np.arange(len(keys)), lengths)
+        state = np.array([k[0] + 1 for k in keys], dtype=np.uint64)[self.owner]
         byte = flat[at]
         shift = np.arange(8, dtype=np.uint64)
         self.bit = ((byte[:, None] >> (np.uint64(7) - shift)) & np.uint64(1)).astype(np.float32)
         self.node = (np.uint64(1) << shift) | (byte[:, None] >> (np.uint64(8) - shift))
-        context, self.slot = np.zeros(len(at), np.uint64), np.empty((len(ORDERS), len(at), 8), np.int32)
+        context, self.slot = np.zeros(len(at), np.uint64), np.empty((len(PREDICTORS), len(at), 8), np.int32)
         back = 0
-        for i, order in enumerate(ORDERS):
+        for i, (order, with_state) in enumerate(PREDICTORS):
             while back < order:
                 back += 1
                 context = context << np.uint64(8) | flat[at - back]
-            seed = (context + np.uint64(order << 56)) * _MULTIPLY
+            seed = (context + np.uint64(order << 48) + (state << np.uint64(52) if with_state else np.uint64(0))) * _MULTIPLY
             seed ^= seed >> np.uint64(29)
             mixed = (seed[:, None] + self.node * _NODE) * _MULTIPLY
             mixed = (mixed ^ (mixed >> np.uint64(32))) * _MULTIPLY
@@ -87,7 +93,8 @@ class Model:
         self.odds = np.log((self.table[1] + 0.4) / (self.table[0] + 0.4)).astype(np.float32)
         total = self.table.sum(axis=0)
         self.steps = ((total >= 1).astype(np.int8) + (total >= 4) + (total >= 32) + (total >= 512)).astype(np.int8)
-        self.weights = np.full((GATES, len(ORDERS)), 0.3, np.float64)
+        self.weights = np.full((GATES, len(PREDICTORS)), 0.3, np.float64)
+        self.curve, self.met = np.zeros((GATES, len(PREDICTORS), len(PREDICTORS))), np.zeros(GATES)
         self.map = np.zeros((256, STEPS + 1, 2), np.float64)
 
     def inputs(self, seen: Decisions, left_out: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -107,22 +114,27 @@ class Model:
     def mixed(self, odds: np.ndarray, gate: np.ndarray) -> np.ndarray:
         weights = self.weights.astype(np.float32)
         out = np.zeros(gate.shape, np.float32)
-        for i in range(len(ORDERS)):
+        for i in range(len(PREDICTORS)):
             out += weights[gate, i] * odds[i]
         return np.clip(out, -12, 12)
 
-    def learn(self, tokens: list[bytes], counts: np.ndarray, rate: float) -> float:
-        """One online step on these tokens; returns how much evidence it had."""
+    def learn(self, tokens: list[bytes], counts: np.ndarray) -> None:
+        """One online step on these tokens: for each gate, a Newton step on all it has met so far."""
         seen = Decisions(tokens)
         odds, gate = self.inputs(seen, True)
-        weight = np.sqrt(counts[seen.owner].astype(np.float32))[:, None]
-        error = (seen.bit - squash(self.mixed(odds, gate))) * weight
+        weight = counts[seen.owner].astype(np.float32)[:, None]
+        p = squash(self.mixed(odds, gate))
         flat = gate.reshape(-1)
-        amount = np.bincount(flat, np.broadcast_to(weight, gate.shape).reshape(-1), GATES)
-        for i in range(len(ORDERS)):
-            slope = np.bincount(flat, (error * odds[i]).reshape(-1), GATES)
-            self.weights[:, i] += rate * slope / np.maximum(amount, 1.0)
-        return float(weight.sum())
+        error, bend = ((seen.bit - p) * weight).reshape(-1), (np.maximum(p * (1 - p), 0.002) * weight).reshape(-1)
+        inputs = odds.reshape(len(PREDICTORS), -1)
+        slope = np.stack([np.bincount(flat, error * x, GATES) for x in inputs], axis=1)
+        for i in range(len(PREDICTORS)):
+            for j in range(i + 1):
+                self.curve[:, i, j] += np.bincount(flat, bend * inputs[i] * inputs[j], GATES)
+                self.curve[:, j, i] = self.curve[:, i, j]
+        self.met += np.bincount(flat, bend, GATES)
+        damped = self.curve + (0.05 * self.met + 1.0)[:, None, None] * np.eye(len(PREDICTORS))
+        self.weights += np.linalg.solve(damped, slope[:, :, None])[:, :, 0]
 
     def observe(self, tokens: list[bytes], counts: np.ndarray) -> None:
         """Collects for the adaptive map which bit followed which mixed probability."""
