@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from parlance.functions import lexicon as lx
 from parlance.functions.text import SPACE
 from parlance.session import materialize, spread
 
 ID, TEXT, LABEL, LEVEL = "ID", "Texte", "Langue", "Niveau"
+SALTS = 64
+NOTHING = "\x00"  # what the CSV reader takes for null; no text holds it
 CORPUS_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in (ID, TEXT, LABEL, LEVEL)])
 
 
@@ -19,8 +23,11 @@ def _header(spark: SparkSession, path: str) -> str:
 
 
 def detect_sep(spark: SparkSession, path: str, candidates: str = ";,\t|") -> str:
-    """The first candidate that splits the header into two columns or more, else a comma."""
-    header = _header(spark, path)
+    """The first candidate that splits the header into two columns or more, else a comma.
+
+    What stands in quotes is part of a name and separates nothing.
+    """
+    header = re.sub(r'"[^"]*"', "", _header(spark, path))
     return next((sep for sep in candidates if sep in header), ",")
 
 
@@ -40,8 +47,9 @@ def read_corpus(
     """
     sep = sep or detect_sep(spark, path)
     reader = spark.read.option("sep", sep).option("header", True).option("escape", '"')
-    reader = reader.option("multiLine", multi_line).option("encoding", "UTF-8")
-    names = [c.strip('"') for c in _header(spark, path).split(sep)]
+    # bare nothing is null, quoted nothing is empty text: the token keeps the two apart
+    reader = reader.option("multiLine", multi_line).option("encoding", "UTF-8").option("nullValue", NOTHING)
+    names = [c.lstrip("\ufeff").strip('"') for c in reader.csv(path).columns]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in names])
     df = reader.schema(schema).option("enforceSchema", False).csv(path)
     return null_tokens(df) if nulls else df
@@ -83,13 +91,20 @@ def labelled(df: DataFrame, text: str = TEXT, label: str = LABEL) -> DataFrame:
 
 
 def with_row_ids(df: DataFrame, ident: str = ID) -> DataFrame:
-    """Give a corpus without ids stable ones: a hash of the row and its place in the scan.
+    """Give a corpus without ids stable ones: a hash of the row and a number among equal rows.
 
-    The result is written once, so that a recomputed task cannot renumber rows.
+    Equal rows can swap numbers without any change, so the ids depend on the rows alone, not on
+    how files are split. A row that is repeated very often is numbered in ``SALTS`` shares that
+    are put one behind the other.
     """
-    row_hash = F.hex(F.xxhash64(*[F.col(c) for c in df.columns]))
-    numbered = df.withColumn(ident, F.concat_ws("-", row_hash, F.hex(F.monotonically_increasing_id())))
-    return materialize(numbered, "row-ids")
+    row_hash = F.md5(F.to_json(F.struct(*[F.col(c) for c in df.columns])))
+    salted = df.withColumn("_h", row_hash).withColumn("_s", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    salted = materialize(salted, "hashed-rows")  # the shares of a row must not change between the two uses
+    sizes = salted.groupBy("_h", "_s").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_h").orderBy("_s")) - F.col("_n")
+    place = F.row_number().over(W.partitionBy("_h", "_s").orderBy("_h"))
+    placed = salted.withColumn("_i", place).join(sizes.select("_h", "_s", before.alias("_start")), ["_h", "_s"])
+    return placed.withColumn(ident, F.concat_ws("-", "_h", (F.col("_start") + F.col("_i")).cast("string"))).drop("_h", "_s", "_i", "_start")
 
 
 def documents_as_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:

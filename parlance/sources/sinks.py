@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from datetime import datetime
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from parlance.functions import lexicon as lx
 
@@ -10,18 +12,31 @@ from parlance.functions import lexicon as lx
 def write_csv(df: DataFrame, path: str, sep: str = ",", mode: str = "overwrite") -> None:
     """Header, doubled quotes, one part file per partition; reads back with ``read_corpus``.
 
-    Empty strings stay quoted, null stays bare, so the two survive a round trip.
+    Empty strings stay quoted, null stays bare, and ``read_corpus`` tells the two apart.
     """
     writer = df.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"')
     writer = writer.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
     writer.option("emptyValue", '""').option("nullValue", "").csv(path)
 
 
+def four_decimals(share: Column) -> Column:
+    """A number from 0 to 1 as text with four decimals, rounded by its exact binary value.
+
+    The number is cut into two parts whose products with 20,000 are exact, so that the sign of
+    its distance from the middle between two texts is exact too; a true middle goes to even.
+    """
+    high = F.floor(share * (1 << 26)) / (1 << 26)
+    low = share - high
+    below = F.floor(share * 10000)
+    beyond = (high * 20000 - (2 * below + 1)) + low * 20000
+    up = (beyond > 0) | ((beyond == 0) & (below % 2 == 1))
+    units = below + F.when(up, 1).otherwise(0)
+    return F.concat(F.floor(units / 10000).cast("string"), F.lit("."), F.lpad((units % 10000).cast("string"), 4, "0"))
+
+
 def zone_export(rows: DataFrame, ratio: str = "ratio") -> DataFrame:
     """Corpus columns plus the ratio as text with four decimals."""
-    return rows.select(
-        "ID", "Texte", "Langue", "Niveau", F.format_string("%.4f", F.bround(F.col(ratio), 4)).alias("ratio_majuscules")
-    )
+    return rows.select("ID", "Texte", "Langue", "Niveau", four_decimals(F.col(ratio)).alias("ratio_majuscules"))
 
 
 def zone_file_names(zones_row) -> dict[str, str]:
@@ -42,6 +57,26 @@ def threshold_report(curve: DataFrame) -> DataFrame:
     )
 
 
+def threshold_lines(curve: DataFrame, zones: DataFrame) -> DataFrame:
+    """The report as text: a line for each threshold, then one for each zone."""
+    report = threshold_report(curve.withColumn("threshold", F.col("threshold")))
+    rows = curve.select("threshold").withColumn("seuil", F.concat((F.col("threshold") * 100).cast("int").cast("string"), F.lit("%"))).join(report, "seuil")
+    body = rows.select(F.col("threshold").alias("position"), F.format_string("%s\t%s\t%s\t%s", "seuil", F.col("detectes").cast("string"), "pct_corpus", "chute").alias("value"))
+    percent = lambda c: (F.col(c) * 100).cast("int").cast("string")
+    triage = zones.select(F.lit(2.0).alias("position"), F.concat(F.lit("tri manuel\t"), percent("seuil_min"), F.lit("-"), percent("seuil_max"), F.lit("%")).alias("value"))
+    clean = zones.select(F.lit(3.0).alias("position"), F.concat(F.lit("nettoyage\t"), percent("seuil_nettoyage"), F.lit("%+")).alias("value"))
+    return body.unionByName(triage).unionByName(clean).orderBy("position").select("value")
+
+
+def write_threshold_report(curve: DataFrame, zones: DataFrame, path: str) -> None:
+    threshold_lines(curve, zones).coalesce(1).write.mode("overwrite").text(path)
+
+
+def run_stamp() -> str:
+    """Second-precise name of a run folder."""
+    return datetime.now().strftime("%Y%m%d_%H%M%S")
+
+
 def report_lines(report: DataFrame, digits: int = 3) -> DataFrame:
     """A classification report as ordered text lines, ready for ``write.text``."""
     number = f"%.{digits}f"

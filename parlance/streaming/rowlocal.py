@@ -13,8 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from parlance.session import scratch_path
-
 
 def read_texts(spark: SparkSession, path: str, schema: T.StructType, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
@@ -26,8 +24,11 @@ def read_texts(spark: SparkSession, path: str, schema: T.StructType, files_per_t
 def write_rows(
     stream: DataFrame, row_local: Callable[[DataFrame], DataFrame], path: str, checkpoint: str | None = None
 ) -> StreamingQuery:
-    """Apply ``row_local`` and append to parquet until the available input is used up."""
-    checkpoint = checkpoint or scratch_path(stream.sparkSession, "stream")
+    """Apply ``row_local`` and append to parquet until the available input is used up.
+
+    Without ``checkpoint``, progress is kept beside the output, so a restart goes on from there.
+    """
+    checkpoint = checkpoint or f"{path.rstrip('/')}/_checkpoint"
     out = row_local(stream)
     return (
         out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)

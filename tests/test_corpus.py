@@ -39,11 +39,11 @@ def test_missing_file_raises(spark):
 
 
 def test_round_trip_keeps_edges_empty_and_null(spark, tmp_path):
-    rows = [("1", " a\n\"b\" ", "x"), ("2", "", "y"), ("3", "c,;d\\", "z")]
+    rows = [("1", " a\n\"b\" ", "x"), ("2", "", "y"), ("3", "c,;d\\", "z"), ("4", None, "w")]
     df = spark.createDataFrame(rows, "ID string, Texte string, Langue string")
     sinks.write_csv(df, str(tmp_path / "out"))
     got = {r["ID"]: r["Texte"] for r in src.read_corpus(spark, str(tmp_path / "out")).collect()}
-    assert got["1"] == rows[0][1] and got["3"] == rows[2][1] and got["2"] in ("", None)
+    assert got == {"1": ' a\n"b" ', "2": "", "3": "c,;d\\", "4": None}
 
 
 def test_id_list(spark, tmp_path):
@@ -63,9 +63,36 @@ def test_required_columns(spark):
         clean.clean_corpus(df)
 
 
-def test_generated_ids_are_unique_even_for_equal_rows(spark):
-    df = spark.createDataFrame([("same",)] * 20, "Texte string")
-    assert src.with_row_ids(df).select("ID").distinct().count() == 20
+def test_generated_ids_depend_on_the_rows_alone(spark):
+    df = spark.createDataFrame([("same",)] * 20 + [("other",), (None,)], "Texte string")
+    ids = [sorted(map(tuple, src.with_row_ids(df.repartition(n)).select("ID", "Texte").collect())) for n in (1, 7)]
+    assert ids[0] == ids[1] and len({i for i, _ in ids[0]}) == 22
+
+
+def test_quoted_header_may_hold_the_separator(spark, tmp_path):
+    path = _write(tmp_path / "a.csv", '"ID","Texte, brut","Langue"\n1,a,FR\n')
+    assert src.detect_sep(spark, path) == ","
+    assert src.read_corpus(spark, path).columns == ["ID", "Texte, brut", "Langue"]
+
+
+@pytest.mark.parametrize("value,text", [(129 / 160, "0.8063"), (1 / 800, "0.0013"), (0.80005, "0.8001"), (0.0, "0.0000"), (1.0, "1.0000"), (0.99996, "1.0000"), (0.03125, "0.0312")])
+def test_ratio_text_rounds_the_exact_value(spark, value, text):
+    df = spark.createDataFrame([(value,)], "r double")
+    assert df.select(sinks.four_decimals(F.col("r"))).first()[0] == text == f"{value:.4f}"
+
+
+def test_ratio_text_equals_python_on_many_fractions(spark):
+    values = [(a / b,) for b in (160, 320, 800, 1600, 3200, 20000) for a in range(0, b, 7)]
+    rows = spark.createDataFrame(values, "r double").select("r", sinks.four_decimals(F.col("r"))).collect()
+    assert [r[1] for r in rows] == [f"{r[0]:.4f}" for r in rows]
+
+
+def test_threshold_report_has_its_zones(spark, tmp_path):
+    curve = spark.createDataFrame([(0.1, 5, 50.0, None), (0.2, 3, 30.0, 2)], "threshold double, n long, pct double, drop long")
+    zones = spark.createDataFrame([(0.1, 0.2, 0.8)], "seuil_min double, seuil_max double, seuil_nettoyage double")
+    sinks.write_threshold_report(curve, zones, str(tmp_path / "report"))
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "report")).collect()]
+    assert lines == ["10%\t5\t50.00%\t-", "20%\t3\t30.00%\t2", "tri manuel\t10-20%", "nettoyage\t80%+"]
 
 
 @pytest.mark.parametrize(
@@ -86,34 +113,22 @@ def test_uppercase_ratio_matches_python(spark, text, ratio):
     assert one(spark, text, tx.uppercase_ratio) == expected == ratio
 
 
-def zones_by_hand(counts):
-    t = [p / 100 for p in range(10, 101, 10)]
-    drops = [counts[i - 1] - counts[i] for i in range(1, 10)]
-    median = sorted(drops)[4]
-    up, down = t[0], t[-1]
-    for i in range(1, 10):
-        if drops[i - 1] <= median:
-            break
-        up = t[i]
-    for i in range(9, 0, -1):
-        if drops[i - 1] <= median:
-            break
-        down = t[i - 1]
-    return (t[0], up, down)
-
-
 @pytest.mark.parametrize(
-    "counts",
-    [[5] * 10, [50, 45, 44, 43, 43, 43, 43, 43, 36, 24], [90, 80, 70, 60, 50, 40, 30, 20, 10, 0],
-     [100, 50, 20, 19, 18, 17, 16, 15, 9, 2], [9, 8, 8, 8, 8, 8, 8, 8, 8, 0], [0] * 10],
+    "counts,zones",
+    [
+        ([5] * 10, (0.1, 0.1, 1.0)),
+        ([0] * 10, (0.1, 0.1, 1.0)),
+        ([90, 80, 70, 60, 50, 40, 30, 20, 10, 0], (0.1, 0.1, 1.0)),
+        ([50, 45, 44, 43, 43, 43, 43, 43, 36, 24], (0.1, 0.2, 0.8)),
+        ([100, 50, 20, 19, 18, 17, 16, 15, 9, 2], (0.1, 0.3, 0.8)),
+        ([9, 8, 8, 8, 8, 8, 8, 8, 8, 0], (0.1, 0.2, 0.9)),
+    ],
 )
-def test_zones(spark, counts):
-    rows, before = [], None
-    for p, n in zip(range(10, 101, 10), counts):
-        rows.append((p / 100, n, 0.0, None if before is None else before - n))
-        before = n
+def test_zones(spark, counts, zones):
+    before = [None, *counts]
+    rows = [(p / 100, n, 0.0, None if b is None else b - n) for p, n, b in zip(range(10, 101, 10), counts, before)]
     curve = spark.createDataFrame(rows, "threshold double, n long, pct double, drop long")
-    assert tuple(triage.zones(curve).first()) == zones_by_hand(counts)
+    assert tuple(triage.zones(curve).first()) == zones
 
 
 def test_curve_of_an_empty_corpus(spark):

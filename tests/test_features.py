@@ -1,7 +1,4 @@
-"""Token measures against a plain reading of their definitions, on random trees."""
-
-import random
-from collections import Counter
+"""Token measures on small trees with known numbers."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,119 +6,71 @@ from pyspark.sql import functions as F
 from parlance.functions import text as tx
 from parlance.operators import annotate as an, features as ft
 
-POS = ["NOUN", "VERB", "ADJ", "DET", "ADP", "AUX", "PRON", "SCONJ", "PROPN", "PUNCT", "SPACE"]
-DEPS = ["nsubj", "obj", "nsubj:pass", "auxpass", "det", "dep"]
-WORDS = ["je", "Il", "Maison", "chat", "est", "!?", "?!", ".", "été", "Où", "donc", "x1"]
-FORMS = [{}, {"VerbForm": ["Inf"]}, {"VerbForm": ["Part"], "Tense": ["Past"]},
-         {"VerbForm": ["Fin"], "Tense": ["Pres"]}, {"VerbForm": ["Fin"], "Tense": ["Imp"]},
-         {"VerbForm": ["Fin"], "Tense": ["Fut"]}]
-
-
-def random_document(rng, n):
-    tokens, sent = [], 0
-    while len(tokens) < n:
-        size = min(rng.randint(1, 9), n - len(tokens))
-        start, order = len(tokens), rng.sample(range(size), size)
-        heads = {order[0]: order[0]}
-        for k in range(1, size):
-            heads[order[k]] = order[rng.randrange(k)] if rng.random() < 0.4 else order[k - 1]
-        for j in range(size):
-            pos = rng.choice(POS)
-            word = "\n" if pos == "SPACE" else rng.choice(WORDS)
-            tokens.append(
-                {"i": start + j, "text": word, "lemma": "être" if rng.random() < 0.3 else word.lower(), "pos": pos,
-                 "tag": rng.choice(["NOUN__Number=Plur", pos]), "dep": rng.choice(DEPS), "head": start + heads[j],
-                 "sent": sent, "is_space": pos == "SPACE", "is_alpha": word.isalpha(), "morph": rng.choice(FORMS)})
-        sent += 1
-    return tokens
-
-
-def mean(values):
-    return sum(values) / len(values) if values else 0.0
-
-
-def expected(text, doc):
-    real = [t for t in doc if not t["is_space"]]
-    kids = lambda t: [c for c in doc if c["head"] == t["i"] and c["i"] != t["i"]]
-    first = lambda t, deps: next((c for c in kids(t) if c["dep"] in deps), None)
-    n, s = max(1, len(real)), max(1, len({t["sent"] for t in doc}))
-    count = lambda f, src=real: sum(1 for t in src if f(t))
-    form = lambda t: t["morph"].get("VerbForm", [])
-    finite = [t for t in real if t["pos"] in ("VERB", "AUX") and form(t) not in (["Inf"], ["Part"])]
-    fin, nouns = max(1, len(finite)), max(1, count(lambda t: t["pos"] == "NOUN"))
-
-    def depth(t):
-        steps = 0
-        while t["head"] != t["i"]:
-            t, steps = doc[t["head"]], steps + 1
-        return steps
-
-    verbs = [t for t in doc if t["pos"] == "VERB"]
-    order, reach = [], []
-    for v in verbs:
-        sub, obj, any_sub = first(v, ("nsubj",)), first(v, ("obj",)), first(v, ("nsubj", "nsubj:pass"))
-        if sub and obj:
-            order.append(1 if obj["i"] < v["i"] else -1 if sub["i"] > v["i"] else 0)
-        if any_sub:
-            reach.append(abs(v["i"] - any_sub["i"]))
-    passive = sum(
-        1 for t in real
-        if t["dep"] == "auxpass" or (t["pos"] == "AUX" and t["lemma"] == "être"
-                                     and any(c["dep"] == "nsubj:pass" for c in kids(doc[t["head"]]))))
-    lemmas = Counter(t["lemma"].lower() for t in real if t["pos"] == "NOUN")
-    alpha = [t["text"] for t in real if t["is_alpha"]]
-    vowels = "aeiouyàâéèêëîïôùûü"
-
-    def syllables(word):
-        low = word.lower()
-        return max(1, sum(1 for k, c in enumerate(low) if c in vowels and (k == 0 or low[k - 1] not in vowels)))
-
-    words = max(1, len(alpha))
-    capitals = sum(
-        1 for k, t in enumerate(real)
-        if k and real[k - 1]["sent"] == t["sent"] and t["text"][0].isupper() and t["pos"] != "PROPN")
-    tense = lambda *names: count(lambda t: any(x in t["morph"].get("Tense", []) for x in names), finite) / fin
-    at = lambda f: mean([t["i"] for t in doc if f(t)])
-    composed = count(
-        lambda t: t["pos"] == "AUX" and any(c["pos"] == "VERB" and form(c) == ["Part"] for c in kids(t)), finite)
-    pronouns = {"je", "tu", "il", "elle", "on", "nous", "vous", "ils", "elles"}
+SCHEMA = "doc_id long, text string"
+
+
+def token(i, text, pos, dep, head, sent=0, lemma=None, tag="", **morph):
     return {
-        "punct_ratio": count(lambda t: t["text"] in ".,;:!?") / n,
-        "flesch": 206.835 - 1.015 * (words / s) - 84.6 * (sum(map(syllables, alpha)) / words),
-        "sentence_length": len(real) / len({t["sent"] for t in doc}) if doc else 0.0,
-        "complexity": mean([depth(t) for t in real if t["pos"] in ("NOUN", "VERB", "ADJ")])
-        + count(lambda t: t["pos"] == "SCONJ") / s,
-        "adposition_ratio": count(lambda t: t["pos"] == "ADP") / n,
-        "noun_repetition": mean([int(c >= 2) for c in lemmas.values()]),
-        "connector_ratio": 2 / n,
-        "determiner_ratio": count(lambda t: t["pos"] == "DET") / nouns,
-        "capital_ratio": capitals / n,
-        "object_order": mean(order),
-        "verb_noun_ratio": count(lambda t: t["pos"] == "VERB") / nouns,
-        "passive_ratio": passive / s,
-        "verb_subject_distance": mean(reach),
-        "subject_pronoun_ratio": count(lambda t: t["text"].lower() in pronouns and t["dep"] == "nsubj") / fin,
-        "subject_mean": at(lambda t: t["dep"] == "nsubj"),
-        "verb_mean": at(lambda t: t["pos"] == "VERB"),
-        "object_mean": at(lambda t: t["dep"] == "obj"),
-        "plural_count": count(lambda t: t["tag"] == "NOUN__Number=Plur", doc),
-        "present_ratio": tense("Pres"), "future_ratio": tense("Fut"), "past_ratio": tense("Past", "Imp"),
-        "composed_ratio": composed / fin,
-    }
-
-
-def test_measures_on_random_trees(spark):
-    rng = random.Random(7)
-    docs = {k: random_document(rng, n) for k, n in enumerate([0, 1, 2, 5, 30, 80, 200, 33, 64, 17])}
-    text = "Étet et même si"
-    df = spark.createDataFrame(
-        [(k, text, [dict(t) for t in doc]) for k, doc in docs.items()],
-        spark.createDataFrame([], "doc_id long, text string").schema.add("tokens", an.TOKENS))
-    got = {r["doc_id"]: r.asDict() for r in
-           ft._measured(df, {m: m for m in expected(text, [])}, "text", ["doc_id"]).collect()}
-    for k, doc in docs.items():
-        for name, value in expected(text, doc).items():
-            assert got[k][name] == pytest.approx(value, abs=1e-9), (k, name)
+        "i": i, "text": text, "lemma": lemma or text.lower(), "pos": pos, "tag": tag, "dep": dep, "head": head, "sent": sent,
+        "is_space": pos == "SPACE", "is_alpha": text.isalpha(), "morph": {k: [v] for k, v in morph.items()},
+    }
+
+
+#: Small trees drawn by hand, each with the numbers counted off it.
+TREES = {
+    "a cat eats mice": (
+        [
+            token(0, "Le", "DET", "det", 1), token(1, "chat", "NOUN", "nsubj", 2), token(2, "mange", "VERB", "root", 2, VerbForm="Fin", Tense="Pres"),
+            token(3, "la", "DET", "det", 4), token(4, "souris", "NOUN", "obj", 2, tag="NOUN__Number=Plur"), token(5, ".", "PUNCT", "punct", 2),
+        ],
+        {
+            "punct_ratio": 1 / 6, "flesch": 83.32, "sentence_length": 6, "complexity": 2 / 3, "adposition_ratio": 0, "noun_repetition": 0,
+            "determiner_ratio": 1, "capital_ratio": 0, "object_order": 0, "verb_noun_ratio": 0.5, "passive_ratio": 0, "verb_subject_distance": 1,
+            "subject_pronoun_ratio": 0, "subject_mean": 1, "verb_mean": 2, "object_mean": 4, "plural_count": 1, "present_ratio": 1, "future_ratio": 0,
+            "past_ratio": 0, "composed_ratio": 0,
+        },
+    ),
+    "a passive, then an inversion and a blank line": (
+        [
+            token(0, "Il", "PRON", "nsubj:pass", 3), token(1, "a", "AUX", "aux", 3, lemma="avoir", VerbForm="Fin", Tense="Pres"),
+            token(2, "été", "AUX", "auxpass", 3, lemma="être", VerbForm="Part"), token(3, "mangé", "VERB", "root", 3, VerbForm="Part", Tense="Past"),
+            token(4, "dort", "VERB", "root", 4, 1, VerbForm="Fin", Tense="Imp"), token(5, "Elle", "PRON", "nsubj", 4, 1), token(6, "\n", "SPACE", "dep", 4, 1),
+        ],
+        {
+            "punct_ratio": 0, "flesch": 76.89, "sentence_length": 3, "complexity": 0, "noun_repetition": 0, "determiner_ratio": 0, "capital_ratio": 1 / 6,
+            "object_order": 0, "verb_noun_ratio": 2, "passive_ratio": 0.5, "verb_subject_distance": 2, "subject_pronoun_ratio": 0.5, "subject_mean": 5,
+            "verb_mean": 3.5, "object_mean": 0, "plural_count": 0, "present_ratio": 0.5, "future_ratio": 0, "past_ratio": 0.5, "composed_ratio": 0,
+        },
+    ),
+    "object and preposition before the verb, a repeated noun": (
+        [
+            token(0, "dans", "ADP", "case", 1), token(1, "jardin", "NOUN", "obl", 4), token(2, "jardin", "NOUN", "obj", 4), token(3, "je", "PRON", "nsubj", 4),
+            token(4, "ai", "VERB", "root", 4, VerbForm="Fin", Tense="Fut"), token(5, "que", "SCONJ", "mark", 6), token(6, "!?", "PUNCT", "punct", 4),
+        ],
+        {
+            "punct_ratio": 1 / 7, "complexity": 2 / 3 + 1, "adposition_ratio": 1 / 7, "noun_repetition": 1, "object_order": 1, "verb_subject_distance": 1,
+            "subject_pronoun_ratio": 1, "object_mean": 2, "future_ratio": 1,
+        },
+    ),
+    "subject behind the verb": (
+        [token(0, "mange", "VERB", "root", 0, VerbForm="Fin"), token(1, "chat", "NOUN", "nsubj", 0), token(2, "?!", "PUNCT", "punct", 0), token(3, "souris", "NOUN", "obj", 0)],
+        {"punct_ratio": 0, "object_order": -1, "noun_repetition": 0, "verb_subject_distance": 1},
+    ),
+    "a participle below its auxiliary": (
+        [token(0, "ai", "AUX", "root", 0, VerbForm="Fin", Tense="Pres"), token(1, "mangé", "VERB", "dep", 0, VerbForm="Part")],
+        {"composed_ratio": 1, "present_ratio": 1, "complexity": 1},
+    ),
+    "nothing": ([], {"punct_ratio": 0, "flesch": 205.82, "sentence_length": 0, "complexity": 0, "object_order": 0, "subject_mean": 0, "present_ratio": 0}),
+}
+
+
+@pytest.mark.parametrize("name", TREES)
+def test_measures_of_trees(spark, name):
+    tokens, expected = TREES[name]
+    df = spark.createDataFrame([(1, "", tokens)], spark.createDataFrame([], SCHEMA).schema.add("tokens", an.TOKENS))
+    row = ft._measured(df, {m: m for m in expected}, "text", ["doc_id"]).first().asDict()
+    for measure, value in expected.items():
+        assert row[measure] == pytest.approx(value, abs=1e-9), measure
 
 
 def test_depth_of_a_long_chain(spark):
