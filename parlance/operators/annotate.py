@@ -7,6 +7,7 @@ itself) and ``sent`` the sentence number.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 import pandas as pd
@@ -32,18 +33,31 @@ TOKENS = T.ArrayType(
 
 Annotator = Callable[[list[str]], Iterable[list[dict]]]
 
+_LOADED: dict[str, Annotator] = {}
+KEEP_LOADED = 2  # parsers a worker holds; the oldest goes first
+
+
+def _loaded(key: str, factory: Callable[[], Annotator]) -> Annotator:
+    if key not in _LOADED:
+        while len(_LOADED) >= KEEP_LOADED:
+            del _LOADED[next(iter(_LOADED))]
+        _LOADED[key] = factory()
+    return _LOADED[key]
+
 
 def annotate(df: DataFrame, text: str, factory: Callable[[], Annotator], batch_size: int = 256) -> DataFrame:
     """Add ``tokens`` with a user's annotator.
 
-    ``factory()`` runs once per Python worker task (load the parser there, with the components
-    the features do not need switched off) and returns a function from a list of texts to one
-    token list per text. Texts are passed on in bounded batches as the annotator yields.
+    ``factory()`` runs once per Python worker (load the parser there, with the components the
+    features do not need switched off) and returns a function from a list of texts to one token
+    list per text; later tasks of the worker reuse it. Texts are passed on in bounded batches as
+    the annotator yields.
     """
+    key = uuid.uuid4().hex
     schema = T.StructType([*df.schema.fields, T.StructField("tokens", TOKENS)])
 
     def run(batches):
-        annotator = factory()
+        annotator = _loaded(key, factory)
         for pdf in batches:
             for start in range(0, len(pdf), batch_size):
                 part = pdf.iloc[start : start + batch_size]
