@@ -8,6 +8,8 @@ from parlance.session import materialize
 
 # Hex digits of a shuffle key that form its bucket: 4,096 of them.
 BUCKET_DIGITS = 3
+# Rows of a class table that are broadcast at most.
+MAX_CLASSES = 1_000_000
 
 
 def labels_of(df: DataFrame, label: str) -> DataFrame:
@@ -26,13 +28,23 @@ def label_ids(df: DataFrame, label: str) -> DataFrame:
     return df.select(label).distinct().select(label, (F.row_number().over(order) - 1).alias("label_id"))
 
 
+def class_table(classes: DataFrame) -> DataFrame:
+    """A table of one row per class, broadcast once its size is checked.
+
+    Joining rows by class through a shuffle would put each class, and all its texts, into one
+    task. With more than ``MAX_CLASSES`` rows no class can be that large, so Spark may choose.
+    """
+    stored = materialize(classes, "classes")
+    return F.broadcast(stored) if stored.count() <= MAX_CLASSES else stored
+
+
 def encode_labels(df: DataFrame, ids: DataFrame, label: str) -> DataFrame:
-    return df.join(ids, label)
+    return df.join(class_table(ids), label)
 
 
 def decode_labels(df: DataFrame, ids: DataFrame, label: str, id_column: str, out: str) -> DataFrame:
     names = ids.select(F.col("label_id").alias(id_column), F.col(label).alias(out))
-    return df.join(names, id_column)
+    return df.join(class_table(names), id_column)
 
 
 def class_distribution(df: DataFrame, label: str) -> DataFrame:
@@ -53,10 +65,20 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
 
 def with_class_weight(df: DataFrame, weights: DataFrame, label: str) -> DataFrame:
     """Join weights to rows; a class absent from the weights gets 0.0."""
-    joined = df.join(weights.select(label, "weight"), label, "left")
+    joined = df.join(class_table(weights.select(label, "weight")), label, "left")
     return joined.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
 
 
+def bounded(train: DataFrame, ident: str, label: str, max_rows: int | None) -> DataFrame:
+    """``train``, or a stratified share of it with at most about ``max_rows`` rows."""
+    if max_rows is None:
+        return train
+    n = train.count()
+    if n <= max_rows:
+        return train
+    return stratified_split(train.drop("is_test"), ident, label, max_rows / n).where("is_test")
+
+
 def shuffle_key(ident: str, seed: int) -> Column:
     """A repeatable pseudo-random order over ids."""
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string")))
