@@ -5,8 +5,6 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from verify import compare, connect
 
-MODELS = sorted(n for n in queries() if n.startswith("M") and n not in oracle_sql())
-
 
 @pytest.fixture(scope="module")
 def duck(sf):
@@ -30,4 +28,4 @@ def test_entry(spark):
 
 def test_run_record(spark, sf):
     row = queries()["S13_S14_S15_E8_run_record"](spark, sf).first()
-    assert row["model_name"] == "camembert-base" and row["max_length"] == 384 and row["report_lines"] == 7
+    assert row["model_name"] == "camembert-base" and row["max_length"] == 384 and row["report_lines"] == 7 and row["timed"] and row["stamped"]
