@@ -16,6 +16,7 @@ the base counts nothing. Empty tables give empty tables. Other columns are not r
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Iterator
 
@@ -134,10 +135,11 @@ def fit(counts: DataFrame) -> mixing.Model:
     for block, raw in zip(found.column("block").to_pylist(), found.column("values").to_pylist()):
         table[:, block : block + PART] = np.frombuffer(raw, np.float32).reshape(2, PART)
     model = mixing.Model(table)
-    shared = context.broadcast(table)
+    shared = context.broadcast(model)
 
     def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = mixing.Model(shared.value)
+        own = copy.copy(shared.value)
+        own.weights = own.weights.copy()
         for part in batches:
             for words, n in _batches(part, mixing.BATCH):
                 own.learn(words, n)
@@ -153,8 +155,8 @@ def fit(counts: DataFrame) -> mixing.Model:
     blended = context.broadcast(model.weights)
 
     def observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = mixing.Model(shared.value)
-        own.weights = blended.value
+        own = copy.copy(shared.value)
+        own.weights, own.map = blended.value, np.zeros_like(own.map)
         for part in batches:
             for words, n in _batches(part, 20_000):
                 own.observe(words, n)
@@ -162,6 +164,8 @@ def fit(counts: DataFrame) -> mixing.Model:
 
     for row in counts.mapInArrow(observed, "map binary").toLocalIterator():
         model.map += np.frombuffer(row["map"]).reshape(model.map.shape)
+    shared.destroy()
+    blended.destroy()
     return model
 
 
