@@ -239,6 +239,7 @@ def removals(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]
     wanted = materialize(wanted, "substring-wanted")
     windows = materialize(locate(materialize(stretches(docs, wanted, text), "substring-stretches")), "repeated-windows")
     least = windows.groupBy("w1", "w2").agg(F.min("first").alias("least"), F.max("first").alias("last")).filter(F.col("least") < F.col("last")).select("w1", "w2", "least")
+    least = materialize(least, "repeated-window-owners")  # so that the join can split a window that very many documents share
     gone = windows.join(least, ["w1", "w2"]).filter(F.col("first") > F.col("least")).select("unit", "at")
     spans = gone.groupBy("unit").agg(F.array_sort(F.collect_set("at")).alias("starts"))
     return rows.drop("phrases").join(classes.select("digest", "first"), "digest", "left"), materialize(spans.join(classes.select("unit", "digest", "first"), "unit").drop("unit"), "substring-spans")
