@@ -54,7 +54,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoded = bpe.encode(docs.select(*COLUMNS), path, keep=("doc_id", "lang", "source"))
-    decoded = bpe.decode(encoded.select("*", F.col("ids").alias("again")), path, ids="again", keep=("doc_id", "lang", "source", "ids"))
+    decoded = bpe.decode(encoded, path, keep=("doc_id", "lang", "source", "ids"))
     return decoded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "text")
 
 

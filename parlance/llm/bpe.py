@@ -106,7 +106,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", keep: tuple[str, ...]
                 texts.append(None if none else b"".join([words[i] for i in values[a:b].tolist()]).decode("utf-8", "replace"))
             yield pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], pa.array(texts, pa.string())], names=[*keep, out])
 
-    narrow = common.pick(tokens, *keep, ids)
+    narrow = common.pick(tokens, *dict.fromkeys([*keep, ids]))
     return narrow.mapInArrow(run, _schema(narrow, keep, f"`{out}` string"))
 
 

@@ -34,8 +34,10 @@ SHAPES = "array<struct<fp:bigint,h1:bigint,h2:bigint,at:int,size:int>>"
 _SHAPE = pa.struct([("fp", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("at", pa.int32()), ("size", pa.int32())])
 
 
-def slot(fingerprints: np.ndarray) -> np.ndarray:
-    return (fingerprints >> np.uint64(64 - BITS)).astype(np.int64)
+def passes(fingerprints: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    """Whether the bitmap, of 2**b bits, has the first b bits of each fingerprint."""
+    where = (fingerprints >> np.uint64(65 - (8 * len(bitmap)).bit_length())).astype(np.int64)
+    return (bitmap[where >> 3] >> (where & 7).astype(np.uint8)) & 1 > 0
 
 
 class Windows:
@@ -74,8 +76,7 @@ def window_lists(column: pa.Array, sizes: list[int], bitmap: np.ndarray | None =
         texts = np.repeat(np.arange(len(column)), windows.count)
         keep = np.ones(len(texts), bool)
         if bitmap is not None:
-            where = slot(windows.fp)
-            keep = (bitmap[where >> 3] >> (where & 7).astype(np.uint8)) & 1 > 0
+            keep = passes(windows.fp, bitmap)
         if whole_only and size < WINDOW:
             keep &= words.count[texts] == size
         if keep.any():

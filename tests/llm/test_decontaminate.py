@@ -1,0 +1,72 @@
+import re
+
+import numpy as np
+
+from parlance.llm import common, decontaminate
+
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+
+
+def words(text):
+    return WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def brute(docs, items):
+    out = []
+    for text in docs:
+        w, hit, found = words(text), set(), set()
+        for item, passage in items:
+            p = words(passage)
+            size = min(10, len(p))
+            if item is None or not size:
+                continue
+            shapes = {tuple(p[i : i + size]) for i in range(len(p) - size + 1)}
+            for i in range(len(w) - size + 1):
+                if tuple(w[i : i + size]) in shapes:
+                    hit.update(range(i, i + size))
+                    found.add(str(item))
+        out.append((len(w), len(hit), sorted(found)))
+    return out
+
+
+def found(spark, docs, items):
+    d = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.find(d, b).orderBy("doc_id").collect()
+    return [(r["n_words"], r["n_hit"], list(r["items"])) for r in rows]
+
+
+def test_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    pool = [f"w{i}" for i in range(12)]  # few words: many chance repeats
+    docs = [" ".join(rng.choice(pool, rng.integers(0, 200))) for _ in range(40)]
+    items = [(i, " ".join(rng.choice(pool, rng.integers(0, 14)))) for i in range(30)]
+    items += [(100, docs[3][:80]), (101, "É " + docs[5][20:120].upper() + "!"), (102, docs[5]), (None, docs[6]), (103, None), (3, docs[7])]
+    docs += [None, "", "é É", "A-b;C  " * 30, docs[5] + " " + docs[3]]
+    assert found(spark, docs, items) == brute(docs, items)
+
+
+def test_odd_rows_are_kept(spark, odd_docs, odd_texts, no_docs):
+    items = spark.createDataFrame([(1, "word"), (2, odd_texts[4][100:200])], "item_id long, text string")
+    got = {r["row__"]: (r["n_words"], r["n_hit"], list(r["items"])) for r in decontaminate.find(odd_docs.withColumnRenamed("row__", "number"), items, keep=("number",)).withColumnRenamed("number", "row__").collect()}
+    assert [got[k] for k in range(len(odd_texts))] == brute(odd_texts, [(1, "word"), (2, odd_texts[4][100:200])])
+    assert decontaminate.find(no_docs, items).count() == 0
+    nothing = decontaminate.find(odd_docs, items.limit(0)).collect()
+    assert len(nothing) == len(odd_texts) and all(r["n_hit"] == 0 for r in nothing)
+
+
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BITS", 3)
+    docs = [f"a{i} b c d e f g h i j k l{i}" for i in range(20)]
+    items = [(i, f"x{i} " + d) for i, d in enumerate(docs[::2])]
+    assert found(spark, docs, items) == brute(docs, items)
+
+
+def test_sliding_minimum_and_grams():
+    rng = np.random.default_rng(1)
+    v = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    for width in (1, 2, 3, 6, 41):
+        assert common.sliding_min(v, width).tolist() == [min(v[i : i + width]) for i in range(len(v) - width + 1)]
+    same = np.concatenate([v[:60], v[:60]])
+    g = common.grams(same, 50)
+    assert (g[:10] == g[60:70]).all() and len(set(g[:60].tolist())) == 60
