@@ -27,8 +27,7 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    judged = line_rules.judge(docs.select(*COLUMNS)).filter("kept")
-    return _documents(judged.withColumn("text", F.col("clean_text")))
+    return _documents(line_rules.clean(docs.select(*COLUMNS)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

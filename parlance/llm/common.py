@@ -33,7 +33,7 @@ def fold(doc_id: str, parts: int) -> Column:
 
 def pick(docs: DataFrame, *columns: str) -> DataFrame:
     """Just the named columns: any others, whatever they are called, cannot clash with ours."""
-    return docs.select(*[F.col(f"`{c}`") for c in columns])
+    return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys(columns)])
 
 
 def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", setup: Callable | None = None) -> DataFrame:

@@ -58,7 +58,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``words`` and the counts that the whole-document rule needs."""
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(whole, "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
-    listed = docs.drop(*ADDED, "words", "windows").withColumn("words", words_of(F.col(f"`{text}`"))).withColumn("lines", lines)
+    listed = docs.drop(*ADDED, "words", "windows", "lines").withColumn("words", words_of(F.col(f"`{text}`"))).withColumn("lines", lines)
     last = F.size("words") - 3
     windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")))
     empty = F.array().cast("array<struct<h:bigint,i:int>>")
@@ -94,3 +94,12 @@ def judge(docs: DataFrame, text: str = "text") -> DataFrame:
     return measured.withColumn("lost", F.when(F.col("word_chars") > 0, 1 - left / F.col("word_chars")).otherwise(0.0)).withColumn(
         "kept", ~F.col("base_failed") & (F.col("lost") <= MAX_LOST)
     )
+
+
+def clean(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents that pass, with the text that is left; all columns of ``docs``."""
+    # a row number in the same projection keeps the optimizer from moving the filter below it,
+    # where it would repeat all the counts inside the condition
+    judged = judge(docs, text).withColumn("row__", F.monotonically_increasing_id())
+    passed = judged.filter(F.col("kept") & (F.col("row__") >= 0))
+    return passed.select(*[F.col("clean_text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
