@@ -223,7 +223,7 @@ def score(docs: DataFrame, learned: Column, text: str = "text", keep: tuple[str,
             at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
             hit = known[at] == keys
             n, p = np.where(hit, known_n[at], 0), np.where(hit, known_p[at], 0.0)
-        base = np.bincount(owner, np.log10(n + 1.0)[where], rows)
+        base = np.bincount(owner, np.log10(n + 1.0)[where], rows).astype(float)  # whole numbers where there are no words
         seen = np.bincount(owner, hit[where], rows)
         value = np.bincount(owner, p[where], rows) + end_p[tokens.end_states]
         rare = ~hit[where]

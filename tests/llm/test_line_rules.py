@@ -39,8 +39,8 @@ def test_line_rules(spark):
 
 
 def test_documents_that_lose_too_much_go(spark):
-    prose = "\n".join(f"Line {i} of plain prose that reads like any other text {i * 7}." for i in range(10))
-    junk = "\n".join("Home | About | News | Contact | More | Again" for _ in range(30))
+    prose = "\n".join(" ".join(f"word{i * j}" for j in range(1, 13)) + "." for i in range(2, 12))
+    junk = "\n".join(f"Home{i} | About{i} | News{i} | Contact{i} | More{i}" for i in range(60))
     df = spark.createDataFrame([(0, prose), (1, prose + "\n" + junk[:80]), (2, prose + "\n" + junk)], "number long, text string")
     rows = {r["number"]: r for r in line_rules.judge(df).collect()}
     assert [rows[k]["kept"] for k in range(3)] == [True, True, False]

@@ -1,0 +1,84 @@
+"""Each stage against brute force on its own input, as the stages follow one another."""
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from test_decontaminate import brute as plain_hits
+from test_line_rules import brute as plain_counts
+from test_simhash import plain_components, plain_fingerprint
+from test_substring import brute as plain_substrings
+from tokenizers import Tokenizer
+
+import corpus_pipeline as cp
+from parlance.llm import line_rules
+
+
+@pytest.fixture(scope="module")
+def steps(spark, sf, tmp_path_factory):
+    """Input and output of each stage, in order, over a part of the documents with planted copies."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select(*cp.COLUMNS)
+    planted = docs.filter("doc_id between 20 and 29").withColumn("doc_id", F.col("doc_id") + 5000)
+    changed = docs.filter("doc_id between 30 and 39").withColumn("doc_id", F.col("doc_id") + 6000).withColumn("text", F.concat(F.lit("Something else first. "), "text"))
+    odd = spark.createDataFrame([(None, "a b c", None, None, None), (7000, None, "en", "s", 0)], docs.schema)
+    now, out = docs.unionByName(planted).unionByName(changed).unionByName(odd), []
+    for name, stage in cp.STAGES:
+        path = str(tmp_path_factory.mktemp("pipeline") / name)
+        stage(spark, now, sf).write.parquet(path)
+        after = spark.read.parquet(path)
+        out.append((name, now, after))
+        now = after
+    return {name: (before.collect(), after.collect()) for name, before, after in out}
+
+
+def test_columns(steps):
+    for name, (_, after) in steps.items():
+        if name != "tokens":
+            assert all(tuple(r.asDict()) == cp.COLUMNS and r["n_chars"] == len(r["text"]) for r in after)
+
+
+def test_quality(spark, steps):
+    before, after = steps["quality"]
+    left = {r["doc_id"]: r["text"] for r in after}
+    lines = {line for r in before for line in (r["text"] or "").split("\n")}
+    df = spark.createDataFrame([(line,) for line in sorted(lines)], "line string")
+    failing = {r["line"] for r in df.filter(line_rules.line_fails(F.col("line"))).collect()}
+    expected = {}
+    for r in before:
+        kept = "\n".join(x for x in (r["text"] or "").split("\n") if x not in failing)
+        solid = lambda t: sum(1 for c in t if c not in line_rules.BLANKS)
+        if not plain_counts(r["text"])[-1] and 1 - solid(kept) / max(1, solid(r["text"])) <= line_rules.MAX_LOST:
+            expected[r["doc_id"]] = kept
+    assert left == expected and 0 < len(left) < len(before)
+
+
+def test_near_duplicates(steps):
+    before, after = steps["near_duplicates"]
+    rows = sorted((r["doc_id"], r["text"]) for r in before)
+    parts = plain_components([plain_fingerprint(t) for _, t in rows])
+    assert sorted((r["doc_id"], r["text"]) for r in after) == [rows[p] for p in sorted(set(parts))]
+    assert len(after) < len(before)
+
+
+def test_substrings(steps):
+    before, after = steps["substrings"]
+    rows = sorted((r["doc_id"], r["text"]) for r in before)
+    expected = {i: kept for (i, _), (n, kept) in zip(rows, plain_substrings(rows)) if kept or not n}
+    assert {r["doc_id"]: b" ".join(r["text"].encode().split()) for r in after} == expected
+
+
+def test_decontaminate(spark, sf, steps):
+    before, after = steps["decontaminate"]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    hits = plain_hits([r["text"] for r in before], items)
+    assert {r["doc_id"] for r in after} == {r["doc_id"] for r, (_, n, _) in zip(before, hits) if n == 0}
+    assert len(after) < len(before)
+
+
+def test_tokens(steps):
+    before, after = steps["tokens"]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r["doc_id"]: r for r in after}
+    assert len(got) == len(before)
+    for r in before:
+        ids = library.encode(r["text"], add_special_tokens=False).ids
+        assert (list(got[r["doc_id"]]["ids"]), got[r["doc_id"]]["n_tokens"], got[r["doc_id"]]["text"]) == (ids, len(ids), r["text"])

@@ -42,7 +42,7 @@ def test_the_penalty_keeps_neutral_mentions_low(spark):
 
 def test_swaps_change_only_the_group_term():
     line = toxicity.IDENTITY[0]
-    chosen = np.unique(np.concatenate([toxicity.features_of(t) for t in line]))
+    chosen = np.unique(np.concatenate([toxicity.features_of(t) for terms in toxicity.IDENTITY for t in terms]))
     row = np.searchsorted(chosen, toxicity.features_of("women"))
     pairs = toxicity.swaps([row], chosen)
     assert len(pairs) == len(line) - 1 and all(len(a) and len(b) for a, b in pairs)
