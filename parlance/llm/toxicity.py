@@ -25,6 +25,7 @@ from parlance.llm import common
 MAX_FIT_ROWS = 20_000
 FEATURES = 4_096
 MIN_ROWS = 3  # rows that a feature must be in
+MIN_CHI = 4.0  # and how far its presence must differ between the classes, where chance gives about one
 PREFIXES = (3, 4, 5, 6)
 LAMBDA = 4.0  # weight of the counterfactual penalty
 RIDGE = 2e-4
@@ -113,7 +114,7 @@ def choose_features(sample: DataFrame) -> np.ndarray:
     counts = common.map_slices(sample, run, "feature long, n long, ones long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
     expected = F.col("n") * (ones / max(n, 1.0))
     chi = F.pow(F.col("ones") - expected, F.lit(2.0)) / F.greatest(expected * (1 - F.col("n") / (n + 1)), F.lit(1e-9))
-    best = counts.filter(F.col("n") >= MIN_ROWS).orderBy(chi.desc(), "feature").limit(FEATURES).select("feature").toArrow()
+    best = counts.filter((F.col("n") >= MIN_ROWS) & (chi >= MIN_CHI)).orderBy(chi.desc(), "feature").limit(FEATURES).select("feature").toArrow()
     terms = [features_of(t) for line in IDENTITY for t in line]
     return np.unique(np.concatenate([best.column("feature").to_numpy().astype(np.uint64), *terms]))
 
