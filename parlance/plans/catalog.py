@@ -265,11 +265,28 @@ def review_rows(spark, sf):
 GROUPS = ["readability", "articles", "words_per_sentence"]
 
 
-@query("P9_P10_feature_groups", sql.measures({c: ft.COLUMN_MEASURE[c] for c in ft.feature_columns(GROUPS)}))
+@query("P9_feature_groups", sql.measures({c: ft.COLUMN_MEASURE[c] for c in ft.feature_columns(GROUPS)}))
 def feature_groups(spark, sf):
     return rounded(ft.linguistic_features(annotated(spark, sf), GROUPS), *ft.feature_columns(GROUPS))
 
 
+GROUP_TOTALS = " UNION ALL ".join(
+    f"SELECT '{g}' AS feature_group, {len(ft.feature_columns([g]))}::BIGINT AS n_columns, round(sum({ft.feature_columns([g])[0]}), 3) AS total FROM m"
+    for g in ft.available_features()
+)
+
+
+@query("P10_group_list", f"WITH m AS ({sql.measures(ft.COLUMN_MEASURE)}) {GROUP_TOTALS}")
+def group_list(spark, sf):
+    """The groups in order, the number of their columns, and what the first of these adds up to."""
+    groups = ft.available_features()
+    first = {g: ft.feature_columns([g])[0] for g in groups}
+    values = rounded(ft.linguistic_features(annotated(spark, sf)), *ft.COLUMN_MEASURE)
+    totals = values.agg(*[F.round(F.sum(first[g]), 3).alias(g) for g in groups])
+    rows = [F.struct(F.lit(g).alias("feature_group"), F.lit(len(ft.feature_columns([g]))).cast("long").alias("n_columns"), F.col(g).alias("total")) for g in groups]
+    return totals.select(F.inline(F.array(*rows)))
+
+
 @query("P11_align_columns", "SELECT doc_id, 0.0::DOUBLE AS absent, length(text)::DOUBLE AS length FROM documents")
 def align(spark, sf):
     return ft.align_columns(ft.stylometric_block(docs(spark, sf)), ["absent", "length"])
