@@ -107,7 +107,7 @@ def _batches(part: pa.RecordBatch, size: int) -> Iterator[tuple[list[bytes], np.
 
 
 def fit(counts: DataFrame) -> mixing.Model:
-    """Three passes over the token table: predictor tables, weights, adaptive map."""
+    """Two passes over the token table: predictor tables, then weights and the adaptive map."""
     context = counts.sparkSession.sparkContext
     cores = context.defaultParallelism
     counts = counts.coalesce(cores)  # each task hands on a table of fixed size
@@ -139,33 +139,24 @@ def fit(counts: DataFrame) -> mixing.Model:
 
     def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = copy.copy(shared.value)
-        own.weights = own.weights.copy()
+        own.weights, own.map = own.weights.copy(), np.zeros_like(own.map)
         for part in batches:
             for words, n in _batches(part, mixing.BATCH):
                 own.learn(words, n)
-        yield common.batch(weights=pa.array([own.weights.tobytes()]), met=pa.array([own.met.tobytes()]))
-
-    # one small row a task: weights are averaged by how much each gate met there
-    above, below = np.full(model.weights.shape, 1e-9) * model.weights, np.full((mixing.GATES, 1), 1e-9)
-    for row in counts.mapInArrow(weights, "weights binary, met binary").toLocalIterator():
-        met = np.frombuffer(row["met"])[:, None]
-        above += met * np.frombuffer(row["weights"]).reshape(model.weights.shape)
-        below += met
-    model.weights = above / below
-    blended = context.broadcast(model.weights)
-
-    def observed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = copy.copy(shared.value)
-        own.weights, own.map = blended.value, np.zeros_like(own.map)
-        for part in batches:
-            for words, n in _batches(part, 20_000):
-                own.observe(words, n)
-        yield common.batch(map=pa.array([own.map.tobytes()]))
-
-    for row in counts.mapInArrow(observed, "map binary").toLocalIterator():
-        model.map += np.frombuffer(row["map"]).reshape(model.map.shape)
+        # sums that tasks can be added up by: weights times what each gate met, then that, then the map
+        sums = np.concatenate([(own.met[:, None] * own.weights).reshape(-1), own.met, own.map.reshape(-1)])
+        filled = np.flatnonzero(sums)
+        yield common.batch(cell=pa.array(filled, pa.int32()), total=pa.array(sums[filled], pa.float64()))
+
+    # as many rows as the model has numbers, however many tasks there are
+    rows = counts.mapInArrow(weights, "cell int, total double").groupBy("cell").agg(F.sum("total").alias("total")).toArrow()
+    size = model.weights.size
+    sums = np.zeros(size + mixing.GATES + model.map.size)
+    sums[rows.column("cell").to_numpy()] = rows.column("total").to_numpy()
+    met = sums[size : size + mixing.GATES, None]
+    model.weights = np.where(met > 0, sums[:size].reshape(model.weights.shape) / np.maximum(met, 1e-9), model.weights)
+    model.map = sums[size + mixing.GATES :].reshape(model.map.shape)
     shared.destroy()
-    blended.destroy()
     return model
 
 

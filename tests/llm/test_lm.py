@@ -63,7 +63,6 @@ def test_probabilities_of_all_continuations_add_up_to_one():
     mixing.tally(keys, counts, table)
     model = mixing.Model(table)
     model.learn(keys, counts)
-    model.observe(keys, counts)
     # each bit's two ways add up to one, so sixteen ways of the first four bits do too
     total = 0.0
     seen = mixing.Decisions([b"\x00" + bytes([b]) for b in range(256) if b not in (0x0A,)])
