@@ -76,3 +76,57 @@ def test_probabilities_of_all_continuations_add_up_to_one():
     p = mixing.squash(model.mixed(odds, gate))[0]
     total = picked.sum() + np.where(lone.bit[0] > 0, p, 1 - p).prod()
     assert total == pytest.approx(1.0, abs=1e-5)
+
+
+def plain_places(text):
+    """(six bytes before, byte, state) of every place of a text, token by token."""
+    back, state, out = b"\0" * 5 + b" ", 0, []
+    low = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in (text or "").encode())
+    for w in [*low.split(), None]:
+        for b in b"\n" if w is None else w + b" ":
+            out.append((back, b, state))
+            back = back[1:] + bytes([b])
+        state = next((1 + (b & 15) for b in reversed(w or b"") if b >= 0x80), state)
+    return out
+
+
+def test_counts_of_all_predictors_equal_brute_force_across_tokens(spark, docs, odd_texts, monkeypatch):
+    monkeypatch.setattr(lm, "RANGE", 3000)  # contexts that lie in several ranges
+    rows = [(r["doc_id"], r["text"]) for r in docs.filter("doc_id < 12").select("doc_id", "text").collect()]
+    rows += [(100 + k, t) for k, t in enumerate(odd_texts[:8]) if k != 4]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    learn, met = Counter(), Counter(p for _, t in rows for p in plain_places(t))
+    for i, t in rows:
+        if learned(i):
+            learn.update(plain_places(t))
+    got = lm.place_contexts(lm.place_counts(df, condition())).toArrow()
+    keys = lm.unsigned(got.column("place").combine_chunks())
+    assert len(keys) == len(met)
+    sums = [Counter() for _ in mixing.PREDICTORS]
+    for (back, b, state), n in learn.items():
+        for c, (order, with_state) in zip(sums, mixing.PREDICTORS):
+            for bits in range(9):
+                c[back[6 - order :], state if with_state else None, bits, b >> (8 - bits)] += n
+    codes = np.frombuffer(b"".join(got.column("codes").to_pylist()), np.uint16)
+    seen = mixing.Contexts(keys, codes)
+    same, other = seen.counts(None)
+    for k, (key, n, m) in enumerate(zip(keys.tolist(), got.column("n").to_pylist(), got.column("met").to_pylist())):
+        raw = key.to_bytes(8, "big")
+        back, b, state = raw[5::-1], raw[6], raw[7]
+        assert (n, m) == (learn[back, b, state], met[back, b, state])
+        for i, (order, with_state) in enumerate(mixing.PREDICTORS):
+            at = lambda bits: sums[i][back[6 - order :], state if with_state else None, bits, b >> (8 - bits)]
+            assert same[i, k].tolist() == pytest.approx([at(bits + 1) for bits in range(8)], rel=0.004)
+            assert other[i, k].tolist() == pytest.approx([at(bits) - at(bits + 1) for bits in range(8)], rel=0.004)
+
+
+def test_the_order_of_words_counts(spark, docs):
+    text = "the red fox runs over the old bridge at night " * 3
+    more = spark.createDataFrame([(0, text), (1, text), (2, text), (900, text), (901, " ".join(sorted(text.split())))], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in lm.score(more, F.col("doc_id") < 3).collect()}
+    assert got[900] > got[901] + 1
+
+
+def test_no_count_saturates():
+    counts = 10.0 ** np.arange(19)
+    assert mixing.COUNT[mixing.packed(counts)] == pytest.approx(counts, rel=0.001)
