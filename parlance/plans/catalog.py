@@ -668,21 +668,24 @@ def feature_svm(spark, sf):
     return wf.feature_svm(rows).predictions
 
 
-LIGHT_BLOCKS = ["pos", "stylometric", "l1_dep"]
-
-
 @query("M4_grid_scores")
 def grid(spark, sf):
     prepared = prepare(annotated(spark, sf), label="lang")
     train = split.stratified_split(prepared, "doc_id", "label").where(~F.col("is_test")).drop("is_test")
-    ranked, _ = selection.grid_search(train, FeatureSpace(LIGHT_BLOCKS), k=3)
+    ranked, _ = selection.grid_search(train, FeatureSpace())
     return ranked
 
 
+@query("M4_tuned_feature_svm")
+def tuned_feature_svm(spark, sf):
+    rows = annotated(spark, sf).withColumnRenamed("lang", "label")
+    return wf.feature_svm(rows, tune=True).predictions
+
+
 @query("M5_A10_fold_scores")
 def fold_scores(spark, sf):
     rows = annotated(spark, sf).withColumnRenamed("lang", "label")
-    return wf.fold_summary(rows, ["word_tfidf", "pos"], k=3)
+    return wf.fold_summary(rows)
 
 
 @query("M6_late_fusion")

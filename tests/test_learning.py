@@ -177,6 +177,23 @@ def test_feature_svm_and_folds(docs):
     assert ranked[0]["mean"] >= ranked[1]["mean"] > 0.2 and ranked[0]["mean"] > 0.7
 
 
+@pytest.mark.parametrize("name,penalties", [("M4_grid_scores", 5), ("M4_tuned_feature_svm", 5), ("M5_A10_fold_scores", 1)])
+def test_fold_queries_run_all_blocks_on_five_folds(spark, sf, monkeypatch, name, penalties):
+    from parlance.functions import lexicon as lx
+    from parlance.plans import catalog
+
+    class Met(Exception):
+        pass
+
+    def stop(prepared, space, params, k=5, *more, **named):
+        raise Met(space.blocks, len(params), k)
+
+    monkeypatch.setattr(selection, "fold_scores", stop)
+    with pytest.raises(Met) as met:
+        catalog.QUERIES[name](spark, sf)
+    assert met.value.args == (list(lx.BLOCK_WEIGHTS), penalties, 5) and len(lx.BLOCK_WEIGHTS) == 7
+
+
 def test_pair_votes_go_to_the_first_label_on_ties(spark):
     from pyspark.ml.linalg import Vectors
 
