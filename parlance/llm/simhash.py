@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from parlance.llm import common
+from parlance.llm import common, jaccard
 from parlance.llm.components import components
 from parlance.session import materialize
 
@@ -172,11 +172,19 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return found.unionByName(met.groupBy("key", "low", "high").applyInArrow(join_blocks, "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fp, component_id: the smallest id among all rows that links lead to."""
+def near_duplicates(docs: DataFrame, text: str = "text", shingle: int | None = None, similarity: float = 0.8) -> DataFrame:
+    """doc_id, fp, component_id: the smallest id among all rows that links lead to.
+
+    With ``shingle``, texts whose shingles of so many words have at least this Jaccard similarity are
+    linked too (``jaccard``), however far apart their fingerprints are.
+    """
     rows = materialize(fingerprints(docs, text), "fingerprints")
     classes = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
-    roots = components(links(classes.select("fp")))
+    found = links(classes.select("fp"))
+    if shingle:
+        both = fingerprints(docs, text, keep=(text,))
+        found = found.unionByName(jaccard.links(docs, both, shingle, similarity, DISTANCE, text))
+    roots = components(found)
     joined = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     named = materialize(joined.join(smallest, "root").select("fp", "component_id"), "fingerprint-components")
