@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, chat, decontaminate, langid, line_rules, lm, oracle, simhash, substring, token_files, toxicity
+from parlance.llm import bpe, chat, decontaminate, langid, line_rules, lm, mixture, oracle, simhash, spelling, substring, token_files, toxicity, trie
 from parlance.llm.common import fold, table
 from parlance.session import scratch_path
 
@@ -90,6 +90,20 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(table(spark, sf_dir, "documents", "doc_id", "text"), slip=31))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = trie.turns_of(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return trie.trie(trie.with_shared_openings(turns))
+
+
+def op13_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixture.mix(table(spark, sf_dir, "documents", "doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -101,6 +115,9 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_line_rules": op9_line_rules,
     "op10_langid": op10_langid,
+    "op11_spelling": op11_spelling,
+    "op12_trie": op12_trie,
+    "op13_mixture": op13_mixture,
 }
 
 ORACLES = {
