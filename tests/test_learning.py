@@ -203,7 +203,7 @@ def test_pair_votes_go_to_the_first_label_on_ties(spark):
         model = fit(df, "y", svm.SvmParams(C=10.0))
         assert model.predict(df).where("y = predicted_label").count() == 15
     two = svm.fit_one_vs_rest(df.where("y <> 'c'"), "y", svm.SvmParams(C=10.0))
-    assert len(two.models) == 1 and two.predict(df.where("y <> 'c'")).where("y = predicted_label").count() == 10
+    assert len(two.coefficients) == 1 and two.predict(df.where("y <> 'c'")).where("y = predicted_label").count() == 10
 
 
 @pytest.mark.parametrize("groups,head", [(["articles", "passive"], "logistic"), ([], "logistic"), (["articles"], "mlp")])
