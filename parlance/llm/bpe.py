@@ -71,14 +71,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
     """The ``keep`` columns and ``out``: the array of token ids of each whole text."""
 
     def run(part: pa.RecordBatch) -> pa.RecordBatch:
-        model, free = coder(path), _free(path)
+        find, free = coder(path).fragments.__getitem__, _free(path)
         data, offsets = common.text_bytes(part.column(text))
         raw = data.tobytes()
         edges = np.unique(np.concatenate([offsets, cuts(data, free)]))
         limits = edges.tolist()
         pieces = [raw[a:b] for a, b in zip(limits, limits[1:])]
         where = np.searchsorted(edges, offsets).tolist()
-        ids = [b"".join(map(model.__getitem__, pieces[a:b])) for a, b in zip(where, where[1:])]
+        ids = [b"".join(map(find, pieces[a:b])) for a, b in zip(where, where[1:])]
         counts = [len(x) // 4 for x in ids]
         column = common.lists(np.frombuffer(b"".join(ids), dtype="<i4"), np.array(counts), pa.int32())
         return pa.RecordBatch.from_arrays([*[part.column(c) for c in keep], column], names=[*keep, out])

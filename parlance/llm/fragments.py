@@ -8,11 +8,15 @@ vocabulary and looked up or merged one by one; whatever else is left to the whol
 from __future__ import annotations
 
 import os
+import re
+from collections.abc import Callable
 
 import numpy as np
 import regex
 
-KEEP = 600_000  # fragments a Python worker remembers, about 200 bytes each, before it starts anew
+KEEP_BYTES = 80 << 20  # of a worker's memory, for each kind of piece that it remembers
+LONGEST = 64  # pieces of more bytes or characters are not remembered
+_COST = 200  # bytes that a remembered piece takes besides its own and its ids
 _CODERS: dict[str, "Coder"] = {}
 
 
@@ -27,8 +31,36 @@ def letter_bytes() -> dict[str, int]:
 _SIMPLE = regex.compile(r" ?[\x21-\x3b\x3d-\x7e\xa1-\xac\xae-įı-ɏ]+")
 
 
-class Coder(dict):
-    """fragment bytes -> its ids as little-endian 32-bit integers."""
+#: Texts of such characters and ASCII blanks only, and what they are cut into once in lower case.
+_SIMPLE_TEXT = re.compile(r"[ \t\n\x0b\f\r\x21-\x3b\x3d-\x7e\xa1-\xac\xae-įı-ɏ]*")
+_LETTERS, _DIGITS = "a-zªµºß-öø-ɏ", "0-9²³¹¼½¾"
+_LOWER_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+")
+
+
+class Remembered(dict):
+    """piece -> what ``find`` gives for it, within a bound of bytes.
+
+    The older half is given up when the newer one is full; what is met again moves over.
+    """
+
+    def __init__(self, find: Callable):
+        self.find, self.older, self.held = find, {}, 0
+
+    def __missing__(self, piece):
+        found = self.older.get(piece)
+        if found is None:
+            found = self.find(piece)
+        if len(piece) <= LONGEST:
+            self.held += _COST + len(piece) + len(found)
+            if self.held > KEEP_BYTES // 2:
+                self.older, self.held = dict(self), 0
+                self.clear()
+            self[piece] = found
+        return found
+
+
+class Coder:
+    """``fragments`` and ``pieces`` (lower-cased pre-tokens): ids as little-endian 32-bit integers."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
@@ -38,7 +70,7 @@ class Coder(dict):
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.merged: dict[str, bytes] = {}
+        self.fragments, self.pieces = Remembered(self.encode), Remembered(self.merge)
         self.written = {b: c for c, b in letter_bytes().items()}
         self.lower = self.tokenizer.normalizer is not None  # the file's normal form includes lower case
         # the pre-token patterns of the two kinds of vocabulary files (fixed values)
@@ -46,25 +78,22 @@ class Coder(dict):
             r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" if self.lower else r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+"
         )
 
-    def __missing__(self, fragment: bytes) -> bytes:
-        if len(self) >= KEEP:
-            self.clear()
+    def encode(self, fragment: bytes) -> bytes:
         text = fragment.decode("utf-8")
         if _SIMPLE.fullmatch(text):
-            found = b"".join([self.merge(p) for p in self.pattern.findall(text.lower() if self.lower else text)])
-        else:
-            found = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
-        self[fragment] = found
-        return found
+            return b"".join([self.merge(p) for p in self.pattern.findall(text.lower() if self.lower else text)])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<i4").tobytes()
 
     def merge(self, piece: str) -> bytes:
-        found = self.merged.get(piece)
-        if found is None:
-            if len(self.merged) >= KEEP:
-                self.merged.clear()
-            written = piece.encode().decode("latin-1").translate(self.written)
-            found = self.merged[piece] = np.array([t.id for t in self.model.tokenize(written)], dtype="<i4").tobytes()
-        return found
+        written = piece.encode().decode("latin-1").translate(self.written)
+        return np.array([t.id for t in self.model.tokenize(written)], dtype="<i4").tobytes()
+
+    def text_ids(self, text: bytes) -> bytes:
+        """Ids of a whole text by a vocabulary that lower-cases and drops white space."""
+        whole = text.decode("utf-8")
+        if _SIMPLE_TEXT.fullmatch(whole):
+            return b"".join(map(self.pieces.__getitem__, _LOWER_PIECES.findall(whole.lower())))
+        return b"".join(map(self.fragments.__getitem__, text.split()))
 
 
 def coder(path: str) -> Coder:

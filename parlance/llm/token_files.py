@@ -38,7 +38,7 @@ LAYOUT = {
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, text: str = "text", doc_id: str = "doc_id") -> None:
     """Encodes each whole text, appends ``end_id`` and writes part, doc_id, before, n_tokens, ids.
 
-    The tokenizer drops white space, so words between ASCII blanks are encoded one by one.
+    The tokenizer drops white space and lower-cases, so a text's pre-tokens are looked up one by one.
     """
     width = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     kind = dict(docs.dtypes)[doc_id]
@@ -49,7 +49,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, text: str
         for whole in batches:
             for part in common.slices(whole, text):
                 texts = part.column(text).cast(pa.binary()).to_pylist()
-                ids = [b"".join(map(model.__getitem__, t.split())) + last if t else last for t in texts]
+                ids = [model.text_ids(t) + last if t else last for t in texts]
                 counts = np.array([len(x) // 4 for x in ids])
                 starts = before + np.cumsum(counts) - counts
                 before += int(counts.sum())

@@ -41,3 +41,37 @@ def test_the_index_reads_no_ids(spark, docs, tmp_path):
 
 def test_no_rows(spark, no_docs, tmp_path):
     assert token_files.read(spark, written(no_docs, tmp_path)).count() == 0
+
+
+def test_footers_show_dictionaries_row_groups_and_page_indexes(spark, docs, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    many = docs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(29)))).select((F.col("doc_id") * 100 + F.col("k")).alias("doc_id"), "text").repartition(4)
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    path = written(many, tmp_path)
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for name in glob.glob(f"{path}/*.parquet"):
+        meta = pq.ParquetFile(name).metadata
+        for g in range(meta.num_row_groups):
+            group = meta.row_group(g)
+            assert group.total_byte_size <= 2 * int(token_files.LAYOUT["parquet.block.size"])
+            for c in range(group.num_columns):
+                column = group.column(c)
+                assert column.has_offset_index and column.has_column_index
+                assert column.path_in_schema != "ids.list.element" or column.has_dictionary_page
+            ids = [group.column(c) for c in range(group.num_columns) if group.column(c).path_in_schema == "doc_id"][0]
+            assert ids.statistics.has_min_max and ids.statistics.min <= ids.statistics.max
+
+
+def test_memory_of_pieces_is_bounded(monkeypatch):
+    from parlance.llm import fragments
+
+    monkeypatch.setattr(fragments, "KEEP_BYTES", 40_000)
+    held = fragments.Remembered(lambda piece: piece.encode() * 2)
+    for k in range(2000):
+        for word in (f"w{k}", "often", "x" * 100):
+            assert held[word] == word.encode() * 2
+        assert sum(200 + 3 * len(w) for w in [*held, *held.older]) <= 41_000
+    assert "often" in held and "x" * 100 not in held and "x" * 100 not in held.older
