@@ -184,6 +184,7 @@ def annotate_lite(df: DataFrame, text: str = "text") -> DataFrame:
                     WHEN t.pos = 'VERB' AND endswith(t.low, 'ez')
                         THEN map('VerbForm', array('Fin'), 'Tense', array('Fut'))
                     WHEN t.pos IN ('VERB', 'AUX') THEN map('VerbForm', array('Fin'), 'Tense', array('Pres'))
+                    WHEN t.pos = 'NOUN' THEN map('Number', array(if(endswith(t.low, 's'), 'Plur', 'Sing')))
                     ELSE cast(map() as map<string, array<string>>) END))
             """
         ),

@@ -1,10 +1,11 @@
-"""Numeric feature tables: groups of the 21 measures, fixed blocks, and the scaler."""
+"""Numeric feature tables: groups of the 21 measures, fixed blocks, scaler and fitted extractor."""
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from parlance.functions import lexicon as lx, tokens as tk
 from parlance.functions.text import finite_or_zero, stylometry
@@ -65,31 +66,33 @@ def parse_feature_names(names: list[str]) -> list[str]:
     return [] if names == ["none"] else names
 
 
-def _measured(df: DataFrame, names: dict[str, str], text: str, keep: list[str]) -> DataFrame:
+def _measured(df: DataFrame, names: dict[str, str], text: str, keep: list[str], corrected: tuple[str, ...] = ()) -> DataFrame:
     based = tk.with_basics(df, text)
-    known = tk.measures()
+    known = tk.measures(corrected)
     return based.select(*keep, *[finite_or_zero(known[m]).alias(c) for c, m in names.items()])
 
 
 def linguistic_features(
-    df: DataFrame, groups: list[str] | None = None, text: str = "text", keep: list[str] = ("doc_id",)
+    df: DataFrame, groups: list[str] | None = None, text: str = "text", keep: list[str] = ("doc_id",), corrected: tuple[str, ...] = ()
 ) -> DataFrame:
     """The columns of the chosen groups (all by default); unasked measures are never computed.
 
+    ``corrected`` names measures to take in their corrected form (``tokens.CORRECTED``).
+
     With no group at all, ``tokens`` is not read, so an annotator need not run.
     """
     columns = feature_columns(available_features() if groups is None else groups)
     if not columns:
         return df.select(*keep)
-    return _measured(df, {c: COLUMN_MEASURE[c] for c in columns}, text, list(keep))
+    return _measured(df, {c: COLUMN_MEASURE[c] for c in columns}, text, list(keep), corrected)
 
 
-def advanced_block(df: DataFrame, text: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
-    return _measured(df, {m: m for m in ADVANCED}, text, list(keep))
+def advanced_block(df: DataFrame, text: str = "text", keep: list[str] = ("doc_id",), corrected: tuple[str, ...] = ()) -> DataFrame:
+    return _measured(df, {m: m for m in ADVANCED}, text, list(keep), corrected)
 
 
-def numeric_block(df: DataFrame, text: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
-    return _measured(df, {m: m for m in L1_NUMERIC}, text, list(keep))
+def numeric_block(df: DataFrame, text: str = "text", keep: list[str] = ("doc_id",), corrected: tuple[str, ...] = ()) -> DataFrame:
+    return _measured(df, {m: m for m in L1_NUMERIC}, text, list(keep), corrected)
 
 
 def stylometric_block(df: DataFrame, text: str = "text", keep: list[str] = ("doc_id",)) -> DataFrame:
@@ -137,3 +140,63 @@ class Scaler:
     @property
     def n_features(self) -> int:
         return len(self.columns)
+
+
+@dataclass(frozen=True)
+class FeatureExtractor:
+    """Feature groups of annotated texts as one vector of 32-bit floats, z-scored unless ``scale`` is off.
+
+    ``fit`` gives a model; neither of the two ever changes.
+    """
+
+    groups: tuple[str, ...]
+    scale: bool = True
+    corrected: tuple[str, ...] = ()
+    text: str = "text"
+
+    def fit(self, train: DataFrame) -> "FeatureExtractorModel":
+        columns = tuple(feature_columns(list(self.groups)))
+        if not (self.scale and columns):
+            return FeatureExtractorModel(self, columns)
+        table = linguistic_features(train, list(self.groups), self.text, [], self.corrected)
+        row = table.agg(*[f(c).alias(f"{name}{k}") for k, c in enumerate(columns) for name, f in (("mean", F.avg), ("std", F.stddev_pop))]).first()
+        means = tuple(row[f"mean{k}"] or 0.0 for k in range(len(columns)))
+        return FeatureExtractorModel(self, columns, means, tuple(row[f"std{k}"] or 1.0 for k in range(len(columns))))
+
+
+@dataclass(frozen=True)
+class FeatureExtractorModel:
+    """A fitted extractor: two numbers a column, so that it works on streams and stores as one row."""
+
+    extractor: FeatureExtractor
+    columns: tuple[str, ...]
+    means: tuple[float, ...] = ()
+    deviations: tuple[float, ...] = ()
+
+    @property
+    def n_features(self) -> int:
+        return len(self.columns)
+
+    def transform(self, df: DataFrame, keep: list[str] = ("doc_id",), out: str = "features") -> DataFrame:
+        """``keep`` and ``out``. Without any group ``out`` is empty and no annotation is read."""
+        if not self.columns:
+            return df.select(*keep, F.array().cast("array<float>").alias(out))
+        table = linguistic_features(df, list(self.extractor.groups), self.extractor.text, list(keep), self.extractor.corrected)
+        values = [F.col(c).cast("float") for c in self.columns]
+        if self.means:
+            values = [((v.cast("double") - m) / d).cast("float") for v, m, d in zip(values, self.means, self.deviations)]
+        return table.select(*keep, F.array(*values).alias(out))
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        facts = {"extractor": vars(self.extractor), "columns": self.columns, "means": self.means, "deviations": self.deviations}
+        spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.text(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "FeatureExtractorModel":
+        """Refuses a model whose columns are not those of its groups any more."""
+        facts = json.loads(spark.read.text(path).first()[0])
+        made = {k: tuple(v) if isinstance(v, list) else v for k, v in facts["extractor"].items()}
+        model = FeatureExtractorModel(FeatureExtractor(**made), *(tuple(facts[k]) for k in ("columns", "means", "deviations")))
+        if model.columns != tuple(feature_columns(list(made["groups"]))):
+            raise ValueError(f"stored columns {', '.join(model.columns)} are not those of {', '.join(made['groups'])}")
+        return model

@@ -626,6 +626,27 @@ def numeric(spark, sf):
     return rounded(ft.numeric_block(annotated(spark, sf)), *ft.L1_NUMERIC)
 
 
+_CORRECTED = {"passive_ratio": "corrected_passive", "plural_count": "corrected_plural", "composed_ratio": "corrected_composed"}
+
+
+@query("L12_L17_L18_corrected", sql.measures(_CORRECTED))
+def corrected(spark, sf):
+    names = {m: m for m in _CORRECTED}
+    return rounded(ft._measured(annotated(spark, sf), names, "text", ["doc_id"], tuple(names)), *names)
+
+
+@query(
+    "A8_fitted_extractor",
+    f"""WITH {sql.MEASURES}, picked AS (SELECT doc_id, round(({sql.MEASURE_SQL['determiner_ratio']})::DOUBLE, 12) AS a, round(({sql.MEASURE_SQL['flesch']})::DOUBLE, 12) AS b FROM joined),
+    fitted AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM picked)
+    SELECT doc_id, round((a - ma) / sa, 3) AS articles, round((b - mb) / sb, 3) AS readability FROM picked, fitted""",
+)
+def fitted_extractor(spark, sf):
+    rows = annotated(spark, sf)
+    features = ft.FeatureExtractor(("articles", "readability")).fit(rows).transform(rows)
+    return features.select("doc_id", *[F.round(F.col("features")[k].cast("double"), 3).alias(c) for k, c in enumerate(("articles", "readability"))])
+
+
 def whitespace_annotator():
     """A minimal user annotator: one sentence per text, one token per whitespace word."""
 

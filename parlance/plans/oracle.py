@@ -152,6 +152,12 @@ voice AS (SELECT t.doc_id, count(*) AS n FROM tok t
     GROUP BY t.doc_id),
 comp AS (SELECT c.doc_id, count(DISTINCT c.head) AS n FROM tok c JOIN tok h ON c.doc_id = h.doc_id AND c.head = h.i
     WHERE c.i <> c.head AND c.pos = 'VERB' AND c.form = 'Part' AND h.pos = 'AUX' AND h.form = 'Fin' GROUP BY c.doc_id),
+comp_below AS (SELECT c.doc_id, count(DISTINCT c.head) AS n FROM tok c JOIN tok h ON c.doc_id = h.doc_id AND c.head = h.i
+    WHERE c.i <> c.head AND c.pos = 'AUX' AND c.form = 'Fin' AND h.pos = 'VERB' AND h.form = 'Part' GROUP BY c.doc_id),
+voice_ud AS (SELECT t.doc_id, count(*) FILTER (t.dep IN ('auxpass', 'aux:pass') OR (t.pos = 'AUX' AND t.lemma = 'être' AND EXISTS (
+        SELECT 1 FROM tok c WHERE c.doc_id = t.doc_id AND c.head = t.head AND c.i <> c.head AND c.dep = 'nsubj:pass'))) AS n FROM tok t
+    WHERE t.pos <> 'SPACE' GROUP BY t.doc_id),
+plurals AS (SELECT doc_id, count(*) AS n FROM tok WHERE pos = 'NOUN' AND low LIKE '%s' GROUP BY doc_id),
 lemmas AS (SELECT doc_id, count(*) FILTER (m >= 2) / count(*) AS rep FROM (
     SELECT doc_id, lower(lemma) AS lem, count(*) AS m FROM tok WHERE pos = 'NOUN' GROUP BY ALL) GROUP BY doc_id),
 conn AS (SELECT doc_id, {connector_count('text')} AS n FROM documents),
@@ -163,10 +169,10 @@ joined AS (SELECT d.doc_id, greatest(1, coalesce(visible, 0)) AS n, greatest(1,
     coalesce(pres, 0) AS pres, coalesce(fut, 0) AS fut, coalesce(past, 0) AS past, coalesce(subj_mean, 0) AS subj_mean,
     coalesce(verb_mean, 0) AS verb_mean, coalesce(obj_mean, 0) AS obj_mean, coalesce(plur, 0) AS plur,
     coalesce(caps, 0) AS caps, coalesce(dist, 0) AS dist, coalesce(sov, 0) AS sov, coalesce(voice.n, 0) AS voiced,
-    coalesce(comp.n, 0) AS composed, coalesce(rep, 0) AS rep, conn.n AS conns
+    coalesce(comp.n, 0) AS composed, coalesce(comp_below.n, 0) AS composed_below, coalesce(voice_ud.n, 0) AS voiced_ud, coalesce(plurals.n, 0) AS plurals, coalesce(rep, 0) AS rep, conn.n AS conns
     FROM documents d LEFT JOIN basics b USING (doc_id) LEFT JOIN firsts USING (doc_id) LEFT JOIN orders USING (doc_id)
     LEFT JOIN voice USING (doc_id) LEFT JOIN comp USING (doc_id) LEFT JOIN lemmas USING (doc_id)
-    LEFT JOIN conn USING (doc_id))"""
+    LEFT JOIN conn USING (doc_id) LEFT JOIN comp_below USING (doc_id) LEFT JOIN voice_ud USING (doc_id) LEFT JOIN plurals USING (doc_id))"""
 
 MEASURE_SQL = {
     "punct_ratio": "puncts / n",
@@ -188,6 +194,9 @@ MEASURE_SQL = {
     "object_mean": "obj_mean",
     "determiner_ratio_all": "det / greatest(1, noun)",
     "plural_count": "plur",
+    "corrected_passive": "voiced_ud / s",
+    "corrected_plural": "plurals",
+    "corrected_composed": "composed_below / fin",
     "present_ratio": "pres / fin",
     "future_ratio": "fut / fin",
     "past_ratio": "past / fin",

@@ -127,3 +127,77 @@ def test_annotator_hook_equals_lite(spark, sf):
 
     through = ft.linguistic_features(an.annotate(df, "text", factory)).orderBy("doc_id").collect()
     assert through == ft.linguistic_features(an.annotate_lite(df)).orderBy("doc_id").collect()
+
+
+CORRECT = {
+    "auxiliaries below their participles": (
+        [
+            token(0, "Elles", "PRON", "nsubj:pass", 3), token(1, "ont", "AUX", "aux", 3, lemma="avoir", VerbForm="Fin", Tense="Pres"),
+            token(2, "été", "AUX", "aux:pass", 3, lemma="être", VerbForm="Part"), token(3, "vues", "VERB", "root", 3, VerbForm="Part", Tense="Past"),
+            token(4, "chats", "NOUN", "obl", 3, tag="NOUN", Number="Plur"), token(5, "chat", "NOUN", "obl", 3, tag="NOUN", Number="Sing"),
+            token(6, "est", "AUX", "aux", 7, 1, lemma="être", VerbForm="Fin", Tense="Pres"), token(7, "venu", "VERB", "root", 7, 1, VerbForm="Part"),
+        ],
+        {"passive_ratio": (0.5, 0.5), "plural_count": (0, 1), "composed_ratio": (0, 1)},
+    ),
+    "the older label, a plural tag, an auxiliary above": (
+        [
+            token(0, "fut", "AUX", "auxpass", 1, lemma="être", VerbForm="Fin"), token(1, "vu", "VERB", "root", 1, VerbForm="Part"),
+            token(2, "lits", "NOUN", "obj", 1, tag="NOUN__Number=Plur"), token(3, "ai", "AUX", "root", 3, 1, VerbForm="Fin"), token(4, "mis", "VERB", "dep", 3, 1, VerbForm="Part"),
+        ],
+        {"passive_ratio": (0.5, 0.5), "plural_count": (1, 0), "composed_ratio": (0.5, 0.5)},
+    ),
+    "the universal label alone": (
+        [token(0, "is", "AUX", "aux:pass", 1, lemma="be", VerbForm="Fin"), token(1, "seen", "VERB", "root", 1, VerbForm="Part")],
+        {"passive_ratio": (0, 1), "composed_ratio": (0, 1)},
+    ),
+    "nothing": ([], {"passive_ratio": (0, 0), "plural_count": (0, 0), "composed_ratio": (0, 0)}),
+}
+
+
+@pytest.mark.parametrize("name", CORRECT)
+def test_corrected_forms_one_by_one(spark, name):
+    """Usual and corrected value of each, and no flag touches another measure."""
+    tokens, expected = CORRECT[name]
+    df = spark.createDataFrame([(1, "", tokens)], spark.createDataFrame([], SCHEMA).schema.add("tokens", an.TOKENS))
+    for flag in [None, *expected]:
+        row = ft._measured(df, {m: m for m in expected}, "text", ["doc_id"], (flag,) if flag else ()).first()
+        assert {m: row[m] for m in expected} == {m: values[m == flag] for m, values in expected.items()}
+
+
+def test_no_other_corrected_forms(spark):
+    df = spark.createDataFrame([], spark.createDataFrame([], SCHEMA).schema.add("tokens", an.TOKENS))
+    with pytest.raises(ValueError, match="no corrected form of flesch"):
+        ft.numeric_block(df, corrected=("flesch",))
+
+
+@pytest.mark.parametrize("scale", [True, False])
+def test_extractor_round_trip(spark, sf, tmp_path, scale):
+    import numpy as np
+
+    docs = an.annotate_lite(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
+    extractor = ft.FeatureExtractor(("articles", "verb_tenses"), scale, ("composed_ratio",))
+    model = extractor.fit(docs.where("doc_id % 3 <> 0"))
+    model.save(spark, str(tmp_path / "model"))
+    again = ft.FeatureExtractorModel.load(spark.newSession(), str(tmp_path / "model"))
+    assert again == model and model.n_features == 5 and hash(model) == hash(again)
+    got = again.transform(docs).orderBy("doc_id").collect()
+    table = ft.linguistic_features(docs, ["articles", "verb_tenses"], corrected=("composed_ratio",)).orderBy("doc_id").collect()
+    values = np.array([list(r)[1:] for r in table], dtype="float32")
+    if scale:
+        train = np.array([list(r)[1:] for r in table if r["doc_id"] % 3])
+        spread = np.where(train.std(axis=0) == 0, 1, train.std(axis=0))
+        values = ((values - train.mean(axis=0)) / spread).astype("float32")
+    assert np.array([r["features"] for r in got]) == pytest.approx(values, abs=1e-5)
+
+
+def test_extractor_on_a_stream_and_without_groups(spark, sf, tmp_path):
+    from parlance.streaming import rowlocal
+
+    batch = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    batch.repartition(3).write.parquet(str(tmp_path / "in"))
+    model = ft.FeatureExtractor(("readability",)).fit(an.annotate_lite(batch))
+    work = lambda df: model.transform(an.annotate_lite(df))
+    rowlocal.write_rows(rowlocal.read_texts(spark, str(tmp_path / "in"), batch.schema, files_per_trigger=1), work, str(tmp_path / "out")).awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).orderBy("doc_id").collect() == work(batch).orderBy("doc_id").collect()
+    none = ft.FeatureExtractor(()).fit(batch)
+    assert none.n_features == 0 and none.transform(batch).first()["features"] == []
