@@ -6,7 +6,9 @@ A line fails by one of three rules.
 - Punctuation: more than ``MAX_MARKS`` of its characters other than blanks are marks (neither
   letter, digit nor combining mark).
 - Navigation: at least ``MIN_BARS`` cells parted by bars, arrows or bullets.
-- Boilerplate: it holds one of the ``BOILERPLATE`` phrases, in any case.
+- Boilerplate: it has at most ``SHORT`` code points and holds one of the ``BOILERPLATE`` phrases in
+  any case, as whole words: neither a letter nor a digit stands beside it. A long line of prose
+  that mentions one stays.
 
 Before that, a document fails as a whole when it has fewer than ``MIN_WORDS`` words or more than
 half of its words lie in three-word windows that it repeats.
@@ -28,11 +30,21 @@ MAX_LOST = 0.5
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 BARS = r"[|»›•·]"
+SHORT = 200
+#: Phrases of notices, menus and consent banners in English, German, French and Spanish.
 BOILERPLATE = (
     "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy", "uses cookies", "accept cookies",
     "click here", "read more", "sign up", "log in", "subscribe to", "share this", "lorem ipsum", "enable javascript",
-    "spdx-license-identifier", "licensed under", "copyright (c)", "©",
+    "spdx-license-identifier", "licensed under", "copyright (c)",
+    "alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "verwendet cookies", "hier klicken",
+    "weiterlesen", "mehr erfahren", "jetzt registrieren", "newsletter abonnieren", "impressum",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "accepter les cookies", "utilise des cookies",
+    "cliquez ici", "lire la suite", "se connecter", "mentions légales", "abonnez-vous",
+    "todos los derechos reservados", "política de privacidad", "términos de uso", "aceptar cookies", "utiliza cookies", "haga clic aquí",
+    "leer más", "iniciar sesión", "aviso legal", "suscríbete",
 )
+SIGN = "©"  # fails a short line wherever it stands
+WHOLE = r"(^|[^\p{L}\p{N}])(" + "|".join(p.replace("(", r"\(").replace(")", r"\)") for p in BOILERPLATE) + r")($|[^\p{L}\p{N}])"
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "clean_text", "lost", "kept")
 
 
@@ -58,11 +70,15 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``words`` and the counts that the whole-document rule needs."""
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(whole, "\n", -1), lambda line: F.btrim(line, F.lit(BLANKS)) != "")
-    listed = docs.drop(*ADDED, "words", "windows", "lines").withColumn("words", words_of(F.col(f"`{text}`"))).withColumn("lines", lines)
+    listed = docs.drop(*ADDED, "words", "windows", "hashes", "lines").withColumn("words", words_of(F.col(f"`{text}`"))).withColumn("lines", lines)
     last = F.size("words") - 3
-    windows = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("i")))
+    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
+    hashed = listed.withColumn("hashes", F.when(last >= 0, hashes).otherwise(F.array().cast("array<bigint>")))
+    # a text whose hashes are all different repeats no window; only others are sorted and compared
+    tied = F.size(F.array_distinct("hashes")) <= last
+    windows = F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
     empty = F.array().cast("array<struct<h:bigint,i:int>>")
-    sorted_windows = listed.withColumn("windows", F.sort_array(F.when(last >= 0, windows).otherwise(empty)))
+    sorted_windows = hashed.withColumn("windows", F.when(tied, F.sort_array(windows)).otherwise(empty))
     return sorted_windows.withColumns(
         {
             "n_words": F.size("words").cast("long"),
@@ -71,16 +87,17 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
             "n_repeat_words": repeated_positions("words", "windows").cast("long"),
         }
-    ).drop("words", "windows", "lines")
+    ).drop("words", "windows", "hashes", "lines")
 
 
 def line_fails(line: Column) -> Column:
     solid = F.translate(line, BLANKS, "")
     marks = F.length(F.regexp_replace(solid, r"[\p{L}\p{N}\p{M}]+", ""))
     low = F.lower(line)
-    phrase = F.lit(False)
+    held = F.lit(False)  # a quick look before the whole words
     for p in BOILERPLATE:
-        phrase = phrase | F.contains(low, F.lit(p))
+        held = held | F.contains(low, F.lit(p))
+    phrase = (F.length(line) <= SHORT) & (F.contains(line, F.lit(SIGN)) | (held & F.rlike(low, F.lit(WHOLE))))
     return (marks > MAX_MARKS * F.length(solid)) | (F.regexp_count(line, F.lit(BARS)) >= MIN_BARS) | phrase
 
 

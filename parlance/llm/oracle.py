@@ -29,9 +29,10 @@ FROM placed GROUP BY conv_id
 def _fails(line: str) -> str:
     solid = rf"regexp_replace({line}, '{_BLANK}+', '', 'g')"
     marks = rf"length(regexp_replace({solid}, '[\p{{L}}\p{{N}}\p{{M}}]+', '', 'g'))"
-    phrases = " OR ".join(f"contains(lower({line}), '{p}')" for p in line_rules.BOILERPLATE)
+    whole = line_rules.WHOLE.replace("'", "''")
+    phrase = f"(length({line}) <= {line_rules.SHORT} AND (contains({line}, '{line_rules.SIGN}') OR regexp_matches(lower({line}), '{whole}')))"
     bars = f"len(regexp_extract_all({line}, '{line_rules.BARS}'))"
-    return f"({marks} > {line_rules.MAX_MARKS}::DOUBLE * length({solid}) OR {bars} >= {line_rules.MIN_BARS} OR {phrases})"
+    return f"({marks} > {line_rules.MAX_MARKS}::DOUBLE * length({solid}) OR {bars} >= {line_rules.MIN_BARS} OR {phrase})"
 
 
 def judged(source: str = "documents") -> str:

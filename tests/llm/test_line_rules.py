@@ -38,6 +38,20 @@ def test_line_rules(spark):
     assert flags == [False, True, True, True, True, True, False, False]
 
 
+def test_phrases_are_whole_words_in_short_lines_of_four_languages(spark):
+    kept = [
+        "They blog in the evening and sit upstairs to design up north.", "A catalog in print, a sign upon the door.", "Weiterlesender Gast, dessen Impressumsrecht gilt.",
+        "We read more than before. " * 12 + "Click here was all it said.",
+    ]
+    failed = [
+        "Alle Rechte vorbehalten. Datenschutzerklärung", "© 2020 A", "Tous droits réservés", "Lire la suite...", "Política de privacidad", "(Log in)", "read more", "Conditions d'utilisation",
+        "TODOS LOS DERECHOS RESERVADOS", "Copyright (c) 2020 A",
+    ]
+    df = spark.createDataFrame(list(enumerate([*kept, *failed])), "k int, line string")
+    flags = [bool(r[0]) for r in df.orderBy("k").select(line_rules.line_fails(F.col("line"))).collect()]
+    assert flags == [False] * len(kept) + [True] * len(failed)
+
+
 def test_documents_that_lose_too_much_go(spark):
     prose = "\n".join(" ".join(f"word{i * j}" for j in range(1, 13)) + "." for i in range(2, 12))
     junk = "\n".join(f"Home{i} | About{i} | News{i} | Contact{i} | More{i}" for i in range(60))
