@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -44,3 +46,49 @@ def score(
     names = F.array(*[F.lit(x) for x in labels])
     best = F.array_position("_logits", F.array_max("_logits")).cast("int")
     return scored.withColumn(out, F.element_at(names, best)).drop("_cut", "_logits")
+
+
+def score_tokens(
+    df: DataFrame,
+    make_tokenizer: Callable,
+    make_predict: Callable,
+    labels: list[str],
+    text: str = "text",
+    model: str = "camembert",
+    pad_id: int = 0,
+    out: str = "predicted_label",
+    **overrides,
+) -> DataFrame:
+    """As ``score``, for a model that reads its own tokens: all columns, ``out`` and ``n_model_tokens``.
+
+    ``make_tokenizer() -> (encode, before, after)``: ``encode`` gives a list of ids for each of a list
+    of texts, ``before`` and ``after`` are the ids of special tokens that enclose them. They count:
+    a text keeps as many of its first tokens as fit beside them into ``max_length``.
+    ``make_predict() -> (ids, mask) -> logits`` sees texts of like length together, each batch padded
+    with ``pad_id`` to its own longest only. Both are made once a worker's task. A null text is empty.
+    """
+    settings = scorer_settings(model, **overrides)
+    longest, size = settings["max_length"], max(MIN_BATCH, settings["batch_size"])
+    rest = [c for c in df.columns if c not in (out, "n_model_tokens")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (encode, before, after), predict = make_tokenizer(), make_predict()
+        room = longest - len(before) - len(after)
+        if room < 0:
+            raise ValueError(f"max_length {longest} has no room for {len(before) + len(after)} special tokens")
+        for batch in batches:
+            ids = [[*before, *found[:room], *after] for found in encode([t or "" for t in batch.column(text).to_pylist()])]
+            lengths = np.array([len(i) for i in ids], dtype=np.int64)
+            order, best = np.argsort(lengths, kind="stable"), np.zeros(len(ids), dtype=np.int64)
+            for k in range(0, len(order), size):
+                chosen = order[k : k + size]
+                padded = np.full((len(chosen), int(lengths[chosen].max())), pad_id, dtype=np.int64)
+                for row, i in enumerate(chosen.tolist()):
+                    padded[row, : lengths[i]] = ids[i]
+                mask = np.arange(padded.shape[1]) < lengths[chosen][:, None]
+                best[chosen] = np.argmax(predict(padded, mask), axis=1)
+            guess = pa.array([labels[k] for k in best.tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], guess, pa.array(lengths)], names=[*rest, out, "n_model_tokens"])
+
+    narrow = df.select(*[F.col(f"`{c}`") for c in rest])
+    return narrow.mapInArrow(run, T.StructType([*narrow.schema, T.StructField(out, T.StringType()), T.StructField("n_model_tokens", T.LongType())]))

@@ -232,6 +232,49 @@ def test_scorer_sees_cut_texts_and_features(spark):
     assert {r["id"]: r["predicted_label"] for r in got.collect()} == {1: "y", 2: "x"}
 
 
+def test_model_tokens_are_those_of_a_plain_reading(spark):
+    """Texts around the limit, batches of like length, special tokens counted, nulls empty."""
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in (0, 1, 5, 6, 7, 8, 40, 3)] * 5 + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(2)
+
+    def tokenizer():
+        return lambda texts: [[10 + int(w[1:]) for w in t.split()] for t in texts], [1], [2, 3]
+
+    def model():
+        import numpy as np
+
+        def predict(ids, mask):
+            assert ids.shape == mask.shape and ids.shape[1] == mask.sum(axis=1).max() <= 9 and len(ids) <= 8
+            assert (ids[~mask] == 0).all() and (ids[:, 0] == 1).all()
+            total = (ids * mask).sum(axis=1)
+            return np.stack([total % 3 == k for k in range(3)], axis=1).astype("float32")
+
+        return predict
+
+    got = {r["id"]: (r["n_model_tokens"], r["predicted_label"]) for r in scoring.score_tokens(df, tokenizer, model, ["x", "y", "z"], max_length=9, batch_size=8).collect()}
+    for k, t in enumerate(texts):
+        ids = [1, *[10 + int(w[1:]) for w in (t or "").split()][:6], 2, 3]
+        assert got[k] == (len(ids), "xyz"[sum(ids) % 3])
+    with pytest.raises(Exception, match="no room"):
+        scoring.score_tokens(df, tokenizer, model, ["x", "y", "z"], max_length=2).collect()
+
+
+def test_a_saved_run_is_the_run(spark, docs, tmp_path):
+    """Fit, save, read back: the record has the fit's own seconds and the scores of its predictions."""
+    from parlance.sources import sinks
+
+    run = wf.char_svm(docs, block=tfidf.Block("short", "char", (1, 2), min_df=2, sublinear=True))
+    config = sinks.run_config(spark, "corpus.csv", "camembert", [], [], ["de", "en"], test_size=0.2)
+    folder = wf.save_run(run, docs, str(tmp_path), config, sinks.experiment_name("svm", []), stamp="20240102_030405")
+    assert folder == f"{tmp_path}/svm_bert_only/20240102_030405"
+    record = spark.read.json(f"{folder}/metrics.json").first()
+    assert record["elapsed_seconds"] == pytest.approx(run.elapsed_seconds) and run.elapsed_seconds > 0.1
+    saved = spark.read.csv(f"{folder}/predictions.csv", header=True, multiLine=True, escape='"')
+    assert saved.count() == run.predictions.count() == 40
+    assert saved.where("true_label = predicted_label").count() == round(40 * record["accuracy"]) == round(40 * accuracy(run))
+    assert spark.read.json(f"{folder}/config.json").first()["test_size"] == 0.2
+
+
 def test_row_local_work_on_a_stream(spark, sf, tmp_path):
     from parlance.functions.text import strip_tags
     from parlance.operators import features as ft
