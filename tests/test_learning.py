@@ -76,6 +76,15 @@ def test_weights(corpus, monkeypatch, block, small):
         assert r["weight"] == pytest.approx(expected[r["doc_id"], r["term"]])
 
 
+def test_a_long_vocabulary_is_met_by_one_listing(corpus, monkeypatch):
+    fitted = tfidf.fit_block(corpus, tfidf.CHAR_3_6)
+    lists = lambda: tfidf.raw_weights(corpus, fitted)._jdf.queryExecution().executedPlan().toString().count("Generate explode")
+    short = lists()
+    monkeypatch.setattr(tfidf, "BROADCAST_TERMS", 3)
+    monkeypatch.setattr(tfidf, "HEAD_TERMS", 2)
+    assert lists() == short > 0
+
+
 def test_vectors_have_unit_rows_and_keep_empty_texts(corpus):
     fitted = tfidf.fit_block(corpus, tfidf.CHAR_1_9)
     vectors = tfidf.to_vectors(corpus, [tfidf.block_items(corpus, fitted, 0, 1.0)], fitted.dimension)
