@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from parlance.session import spread
 
-SLICE_BYTES = 2 << 20  # text bytes worked on at once; a longer text is worked on alone
+SLICE_BYTES = 1 << 20  # text bytes worked on at once; a longer text is worked on alone
+BATCH_ROWS = 1000  # texts that Spark hands to a Python worker at once
 MASK64 = (1 << 64) - 1
 
 
@@ -32,21 +33,28 @@ def fold(doc_id: str, parts: int) -> Column:
 
 
 def pick(docs: DataFrame, *columns: str) -> DataFrame:
-    """Just the named columns: any others, whatever they are called, cannot clash with ours."""
+    """Just the named columns: any others, whatever they are called, cannot clash with ours.
+
+    Whole texts are long rows, so the session's batches for Python workers are made short here.
+    """
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys(columns)])
 
 
-def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text", setup: Callable | None = None) -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
     """``mapInArrow`` over slices of about ``SLICE_BYTES`` of text, so that memory stays bounded.
 
-    With ``setup``, it is called once a task and its result is passed as second argument.
+    What a batch took is given back before the next one, so that workers which wait hold little.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (setup(),) if setup else ()
         for batch in batches:
             for part in slices(batch, text):
-                yield fn(part, *held)
+                yield fn(part)
+            del batch
+            pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -14,7 +14,8 @@ from collections.abc import Callable
 import numpy as np
 import regex
 
-KEEP_BYTES = 80 << 20  # of a worker's memory, for each kind of piece that it remembers
+KEEP_FRAGMENTS = 48 << 20  # bytes of a worker's memory for fragments that it remembers
+KEEP_PIECES = 80 << 20  # and for pre-tokens
 LONGEST = 64  # pieces of more bytes or characters are not remembered
 _COST = 200  # bytes that a remembered piece takes besides its own and its ids
 _CODERS: dict[str, "Coder"] = {}
@@ -43,8 +44,8 @@ class Remembered(dict):
     The older half is given up when the newer one is full; what is met again moves over.
     """
 
-    def __init__(self, find: Callable):
-        self.find, self.older, self.held = find, {}, 0
+    def __init__(self, find: Callable, limit: int):
+        self.find, self.limit, self.older, self.held = find, limit, {}, 0
 
     def __missing__(self, piece):
         found = self.older.get(piece)
@@ -52,7 +53,7 @@ class Remembered(dict):
             found = self.find(piece)
         if len(piece) <= LONGEST:
             self.held += _COST + len(piece) + len(found)
-            if self.held > KEEP_BYTES // 2:
+            if self.held > self.limit // 2:
                 self.older, self.held = dict(self), 0
                 self.clear()
             self[piece] = found
@@ -70,7 +71,7 @@ class Coder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = self.tokenizer.model
-        self.fragments, self.pieces = Remembered(self.encode), Remembered(self.merge)
+        self.fragments, self.pieces = Remembered(self.encode, KEEP_FRAGMENTS), Remembered(self.merge, KEEP_PIECES)
         self.written = {b: c for c, b in letter_bytes().items()}
         self.lower = self.tokenizer.normalizer is not None  # the file's normal form includes lower case
         # the pre-token patterns of the two kinds of vocabulary files (fixed values)

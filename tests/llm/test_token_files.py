@@ -65,11 +65,10 @@ def test_footers_show_dictionaries_row_groups_and_page_indexes(spark, docs, tmp_
             assert ids.statistics.has_min_max and ids.statistics.min <= ids.statistics.max
 
 
-def test_memory_of_pieces_is_bounded(monkeypatch):
+def test_memory_of_pieces_is_bounded():
     from parlance.llm import fragments
 
-    monkeypatch.setattr(fragments, "KEEP_BYTES", 40_000)
-    held = fragments.Remembered(lambda piece: piece.encode() * 2)
+    held = fragments.Remembered(lambda piece: piece.encode() * 2, 40_000)
     for k in range(2000):
         for word in (f"w{k}", "often", "x" * 100):
             assert held[word] == word.encode() * 2
