@@ -33,3 +33,12 @@ def test_nulls_ties_and_repeats(spark):
     assert [(t["role"], t["text"]) for t in got[2]["turns"]] == [("system", "s"), ("user", "a"), ("user", "a"), ("user", "b")]
     assert [(t["role"], t["text"]) for t in got[None]["turns"]] == [("", "")] and got[3]["learned"] == ""
     assert back(spark, []) == {}
+
+
+def test_a_very_long_conversation_and_clashing_columns(spark):
+    """20,000 turns are one string that reads back; columns named like the operator's own are of no account."""
+    rows = [(1, t, "user" if t % 2 else "assistant", f"turn {t} <|im_end|>", "x", t) for t in range(20_000)] + [(2, 0, "user", "y" * 300_000, "x", 0)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string, segments long")
+    got = {r["conv_id"]: r for r in chat.format_conversations(df).select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns")).collect()}
+    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [(r[2], r[3]) for r in rows[:-1]]
+    assert [(t["role"], t["text"]) for t in got[2]["turns"]] == [("user", "y" * 300_000)]

@@ -82,3 +82,19 @@ def test_tokens(steps):
     for r in before:
         ids = library.encode(r["text"], add_special_tokens=False).ids
         assert (list(got[r["doc_id"]]["ids"]), got[r["doc_id"]]["n_tokens"], got[r["doc_id"]]["text"]) == (ids, len(ids), r["text"])
+
+
+def test_nulls_reach_the_last_stage_and_an_empty_table_ends_empty(spark, sf, tmp_path):
+    """Long clean rows with nulls in every other column, a null id twice, and a column of a used name."""
+    words = lambda k: ". ".join(f"Zeile{k}x{i} hat{k}y{i} sieben{k} klare{i} Worte{k}z{i} und{i} Ende{k}{i}" for i in range(30)) + "."
+    rows = [(None, words(1), None, None, None, "a"), (None, words(2), "de", None, 3, None), (90001, words(3), None, None, None, None), (90002, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, ids string")
+    for start, left in ((docs, {words(1), words(2), words(3)}), (docs.limit(0), set())):
+        now = start
+        for name, stage in cp.STAGES:
+            path = str(tmp_path / f"{len(left)}-{name}")
+            stage(spark, now, sf).write.parquet(path)
+            now = spark.read.parquet(path)
+        got = now.collect()
+        assert {r["text"] for r in got} == left and len(got) == len(left) and set(now.columns) == {"doc_id", "lang", "source", "n_tokens", "ids", "text"}
+        assert sum(r["doc_id"] is None for r in got) == (2 if left else 0)

@@ -36,8 +36,8 @@ def test_the_penalty_keeps_neutral_mentions_low(spark):
         shift[penalty] = mentions.max() - mentions.min(), mentions.mean() - toxicity.score(plain, model).first()["score"]
         insulted = toxicity.score(spark.createDataFrame([(1, "wort5 scum wort11")], "doc_id long, text string"), model).first()["score"]
         assert insulted > 0.5
-    assert shift[toxicity.LAMBDA][0] <= shift[0.0][0] + 1e-9
-    assert all(abs(x) < 0.5 for x in shift[toxicity.LAMBDA])
+    assert shift[toxicity.LAMBDA][0] <= 0.1 * shift[0.0][0]  # the terms' scores come together
+    assert abs(shift[toxicity.LAMBDA][1]) <= 0.5 * abs(shift[0.0][1])  # and closer to no term at all
 
 
 def test_swaps_change_only_the_group_term():
