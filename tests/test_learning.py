@@ -301,3 +301,20 @@ def test_row_local_work_on_a_stream(spark, sf, tmp_path):
     rowlocal.write_rows(stream, row_local, str(tmp_path / "out")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("doc_id").collect()
     assert got == row_local(batch).orderBy("doc_id").collect()
+
+
+def test_batches_of_texts_count_like_rows(spark, monkeypatch):
+    """Texts that share an owner, null owners, long owners and code points of any width; a task's terms leave it once."""
+    monkeypatch.setattr(tfidf.gramcounts, "BATCH_CHARS", 60)
+    rows = [(1, "abab aé"), (1, "ab \n 😀b"), (None, "aé"), (None, "É😀"), (2, None), (3, ""), (4, "ab" * 40), (5, "a İ")]
+    rows += [(k, "même abab 😀") for k in range(10, 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    block = tfidf.Block("short", "char", (1, 4))
+    slow = tfidf.term_statistics(tfidf.term_counts(df, block), "doc_id")
+    fast = tfidf.text_statistics(df, block, fingerprint=True)
+    assert sorted(fast.collect()) == sorted(slow.collect())
+    assert sorted(tfidf.text_statistics(df, block).collect()) == sorted(slow.select("term", "tf", "df").collect())
+
+    part = [("abcabc" * 10)] * 4
+    rows_out = sum(b.num_rows for b in tfidf.gramcounts.char_statistics(part, [0, 1, 2, 3], [(1, 2)] * 4, 3, 3, False))
+    assert rows_out == 3
