@@ -201,3 +201,29 @@ def test_extractor_on_a_stream_and_without_groups(spark, sf, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).orderBy("doc_id").collect() == work(batch).orderBy("doc_id").collect()
     none = ft.FeatureExtractor(()).fit(batch)
     assert none.n_features == 0 and none.transform(batch).first()["features"] == []
+
+
+def test_lite_tokens_look_up_each_word_once(monkeypatch):
+    """What depends on a word alone is asked once per distinct word, not per token."""
+    import pyarrow as pa
+
+    asked = []
+    monkeypatch.setattr(an, "_lite_word", lambda w, known=an._lite_word: asked.append(w) or known(w))
+    texts = [[["les", "chats", "mangent", "."], ["il", "est", "aimed", "les"]] * 50, [], [["\n\n", "12"]]]
+    column = pa.array(texts, pa.list_(pa.list_(pa.string())))
+    found = an._lite_tokens(column.slice(0, 3)).to_pylist()
+    assert sorted(asked) == sorted({"les", "chats", "mangent", ".", "il", "est", "aimed", "\n\n", "12"})
+    assert [len(t) for t in found] == [400, 0, 2]
+    assert [(t["i"], t["pos"], t["dep"], t["head"], t["sent"]) for t in found[0][4:8]] == [
+        (4, "PRON", "nsubj:pass", 6, 1), (5, "AUX", "aux", 6, 1), (6, "VERB", "ROOT", 6, 1), (7, "DET", "det", 6, 1),
+    ]
+    assert found[0][1]["tag"] == "NOUN__Number=Plur" and found[0][5]["lemma"] == "être"
+    assert dict(found[0][6]["morph"]) == {"VerbForm": ["Part"], "Tense": ["Past"]} and not found[2][0]["is_alpha"]
+    assert an._lite_tokens(column.slice(2, 1)).to_pylist() == found[2:]
+
+
+def test_hook_builds_columns_from_dicts():
+    """Field by field; a field that the annotator leaves out is null."""
+    tokens = an._from_dicts([[{"i": 0, "text": "a", "morph": {"Number": ["Sing"]}}], [], [{"i": 0, "head": 0, "is_alpha": True}]]).to_pylist()
+    assert [len(t) for t in tokens] == [1, 0, 1] and tokens[0][0]["morph"] == [("Number", ["Sing"])]
+    assert tokens[0][0]["lemma"] is None and tokens[2][0]["is_alpha"] and tokens[2][0]["morph"] is None

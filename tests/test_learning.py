@@ -318,3 +318,14 @@ def test_batches_of_texts_count_like_rows(spark, monkeypatch):
     part = [("abcabc" * 10)] * 4
     rows_out = sum(b.num_rows for b in tfidf.gramcounts.char_statistics(part, [0, 1, 2, 3], [(1, 2)] * 4, 3, 3, False))
     assert rows_out == 3
+
+
+def test_batches_keep_owners_whole(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(tfidf.gramcounts, "BATCH_CHARS", 10)
+    rows = [(None, "abcd"), (1, "abc"), (1, "abcd"), (1, "ab"), (2, "abcdefghij"), (3, "a")]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "_text": [r[1] for r in rows], "_h1": [0] * 6, "_h2": [0] * 6})
+    parts = list(tfidf.gramcounts.batches_of(iter([batch.slice(0, 3), batch.slice(3)]), "doc_id"))
+    assert [p[0] for p in parts] == [["abcd"], ["abc", "abcd", "ab"], ["abcdefghij"], ["a"]]
+    assert [p[1] for p in parts] == [[0], [0, 0, 0], [0], [0]]
