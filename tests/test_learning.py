@@ -220,6 +220,19 @@ def test_late_fusion(docs, groups, head):
     assert accuracy(wf.late_fusion(docs, groups, head=head)) > 0.7
 
 
+def test_late_fusion_annotates_each_text_once(spark, docs):
+    """The split, the scaler and the fit read stored rows, not the texts again."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        seen.add(1)
+        return text
+
+    counted = F.udf(count, "string").asNondeterministic()
+    run = wf.late_fusion(docs, ["articles"], head="logistic", annotator=lambda df: an.annotate_lite(df.withColumn("text", counted("text"))))
+    assert run.predictions.count() == 40 and seen.value == docs.count() == 200
+
+
 def test_unknown_head(docs):
     with pytest.raises(ValueError, match="unknown head"):
         fusion.fit_fusion(docs, [], head="other")
